@@ -57,7 +57,8 @@ def with_posteriors(docs: DataFrame, prior: np.ndarray, table: np.ndarray) -> Da
     k = len(prior)
     d = docs.withColumn("_b", _buckets(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     d = d.withColumn("n_tokens", F.size("_b").cast("long"))
-    logs = [F.lit(table[i].tolist()).cast("array<double>") for i in range(k)]
+    # one string literal a domain, folded into an array once
+    logs = [F.split(F.lit(",".join(map(repr, table[i].tolist()))), ",").cast("array<double>") for i in range(k)]
 
     def total(row: Column) -> Column:
         return F.aggregate("_b", F.lit(0.0), lambda acc, b: acc + F.coalesce(F.get(row, b), F.lit(0.0)))

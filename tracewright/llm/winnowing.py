@@ -17,22 +17,27 @@ GRAM, WINDOW = 5, 8
 BLOCK_ROWS, MOST_BLOCKS = 1000, 65_536
 
 
-def winnow(text: Column) -> Column:
-    """The kept k-grams of a text in order: hash (31 bits) in the high half of a long, 2^32 - 1 - position in the low half."""
-    tokens = F.regexp_extract_all(text, F.lit(r"(\S{1,6})"), F.lit(1))
-    h = F.transform(tokens, lambda t: F.xxhash64(t))
-    size = F.size(h)
-
-    def packed(hash_: Column, at: Column) -> Column:
-        return F.shiftleft(hash_.bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), 32).bitwiseOR(F.lit(0xFFFFFFFF) - at.cast("long"))
-
-    grams = F.transform(F.slice(h, F.lit(1), F.greatest(size - (GRAM - 1), F.lit(0))), lambda x, i: packed(F.hash(x, *[F.get(h, i + k) for k in range(1, GRAM)]), i))
-    short = F.array(packed(F.hash(h), F.lit(0)))
-    g = F.when(size == 0, F.array().cast("array<bigint>")).when(size < GRAM, short).otherwise(grams)
-    low = g
+def _packed(hash_: Column, at: Column) -> Column:
+    return F.shiftleft(hash_.bitwiseAND(F.lit(0x7FFFFFFF)).cast("long"), 32).bitwiseOR(F.lit(0xFFFFFFFF) - at.cast("long"))
+
+
+def winnow(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the kept k-grams of a text in order: hash (31 bits) in the high half of a long, 2^32 - 1 - position in the low half.
+
+    Each array that a lambda reads by index is a column of its own: inside the lambda's expression it would be made anew
+    for every element.
+    """
+    keep = df.columns
+    h, g, n = F.col("_h"), F.col("_g"), F.col("_n")
+    df = df.select(*keep, F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(\S{1,6})"), F.lit(1)), lambda t: F.xxhash64(t)).alias("_h"))
+    grams = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(0))), lambda x, i: _packed(F.hash(x, *[F.get(h, i + k) for k in range(1, GRAM)]), i))
+    short = F.array(_packed(F.hash(h), F.lit(0)))
+    df = df.select(*keep, F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < GRAM, short).otherwise(grams).alias("_g"))
+    df = df.select(*keep, "_g", F.size(g).alias("_n"))
     for step in (1, 2, 4):  # windows of 2, 4, 8; past the end, least() takes what is there
-        low = F.zip_with(low, F.slice(low, F.lit(step + 1), F.size(low)), lambda a, b: F.least(a, b))
-    return F.array_distinct(F.slice(low, F.lit(1), F.when(F.size(g) == 0, 0).otherwise(F.greatest(F.size(g) - (WINDOW - 1), F.lit(1)))))
+        df = df.select(*keep, F.zip_with(g, F.slice(g, F.lit(step + 1), F.size(g)), lambda a, b: F.least(a, b)).alias("_g"), "_n")
+    windows = F.when(n == 0, 0).otherwise(F.greatest(n - (WINDOW - 1), F.lit(1)))
+    return df.select(*keep, F.array_distinct(F.slice(g, F.lit(1), windows)).alias(out))
 
 
 def hashes(kept: Column) -> Column:
@@ -83,21 +88,21 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     tops = tops.select("top", F.coalesce(F.lead("block").over(by), F.min("block").over(Window.partitionBy())).alias("to"))
     ghosts = d.select("*", rank.alias("top")).join(F.broadcast(tops), "top").withColumn("block", F.col("to")).drop("top", "to")
     rows = d.withColumn("ghost", F.lit(False)).unionByName(ghosts.withColumn("ghost", F.lit(True)))
-    rows = rows.repartition(n, "block").withColumn("kept", winnow(F.col("text")))
+    rows = winnow(rows.repartition(n, "block"), "text", "kept")
     w = Window.partitionBy("block").orderBy("ghost", "last", F.desc("key"), "th")
     rows = rows.select("doc_id", "text", "kept", "ghost", F.lead("text").over(w).alias("next"), F.lead("kept").over(w).alias("next_kept")).where(~F.col("ghost"))
     size = F.length("text")
     third = F.floor(size / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), size - third), F.substring(F.col("next"), F.lit(1), third))
     rows = rows.select("doc_id", "kept", "next_kept", size.cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.select("*", winnow(F.col("edited")).alias("edited_kept"))
-    own = hashes(F.col("kept"))
+    rows = winnow(rows, "edited", "edited_kept")
+    rows = rows.select("*", *[hashes(F.col(c)).alias(f"_{c}") for c in ("kept", "next_kept", "edited_kept")])
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_string(F.col("kept")).alias("fingerprint"),
         as_string(F.col("edited_kept")).alias("edited_fingerprint"),
-        likeness(own, hashes(F.col("edited_kept"))).alias("near_edited"),
-        likeness(own, hashes(F.col("next_kept"))).alias("near_next"),
+        likeness(F.col("_kept"), F.col("_edited_kept")).alias("near_edited"),
+        likeness(F.col("_kept"), F.col("_next_kept")).alias("near_next"),
     )
