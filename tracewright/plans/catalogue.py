@@ -1,6 +1,687 @@
-"""The registered queries over the trace model, with their SQL."""
+"""The registered queries over the trace model, with their SQL.
+
+The provided `events` stand for a trace: a user is a thread, its events in time order are its lines, and the workflow is
+view, click, purchase. Orders and line items serve where intervals with real durations are wanted.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracewright.operators import automaton as A
+from tracewright.operators import clock, links, requests, stats, variables, workflow
+from tracewright.plans.api import Intervals, Requests
+from tracewright.plans.spec import Automaton, Master, Registry
+from tracewright.sources import tracelog
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with SQL that gives the same rows where there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@cache
+def shop() -> Master:
+    """The example workflow."""
+    master = Master("shop", Registry().register("shop", "app"))
+    _, n1 = master.build_thread("app", 1, "view", "purchase")
+    _, n2 = n1.build(2, "click")
+    _, n3 = n2.build(3, "purchase")
+    n3.set_state("BOUGHT")
+    return master
+
+
+def shop_automaton() -> Automaton:
+    return shop().compile()
+
+
+# ---------------------------------------------------------------------------------------------------------------------
+# The trace of the events table
+# ---------------------------------------------------------------------------------------------------------------------
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts)")
+    return e.select(
+        F.lit("events").alias("source"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("lino"),
+        F.col("user_id").cast("string").alias("target"),
+        F.col("user_id").cast("string").alias("thread"),
+        (F.col("user_id") % 4).cast("int").alias("host"),
+        F.lit("app").alias("component"),
+        F.when(F.col("user_id") % 2 == 0, "client").otherwise("server").alias("role"),
+        F.col("event_type").alias("keyword"),
+        us.alias("us"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
+        "event_id",
+        "value",
+    )
+
+
+def paces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.paces(trace(spark, sf_dir), shop_automaton())
+
+
+def _items(t: DataFrame, keyword: str) -> DataFrame:
+    return t.where(F.col("keyword") == keyword).select(F.col("event_id").alias("pace_id"), "us", "k", "host", "thread", "role")
+
+
+LINES = """
+ lines AS (SELECT 'events' AS source, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS lino,
+   CAST(user_id AS VARCHAR) AS target, CAST(user_id AS VARCHAR) AS thread, CAST(user_id % 4 AS INTEGER) AS host,
+   CASE WHEN user_id % 2 = 0 THEN 'client' ELSE 'server' END AS role, event_type AS keyword,
+   epoch_us(ts) - 1704067200000000 AS us, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_id, value FROM events)"""
+
+WALK = (
+    LINES
+    + """,
+ walk AS (SELECT l.*, CASE WHEN keyword = 'view' THEN 1 ELSE 0 END AS s, CASE WHEN keyword = 'view' THEN 0 ELSE -1 END AS ti,
+     CASE WHEN keyword = 'view' THEN 'start' ELSE 'dangling' END AS status, 0 AS s0 FROM lines l WHERE lino = 1
+   UNION ALL
+   SELECT l.*, CASE WHEN w.s = 1 AND l.keyword = 'click' THEN 2 WHEN w.s = 2 AND l.keyword = 'purchase' THEN 3 WHEN l.keyword = 'view' THEN 1 ELSE 0 END,
+     w.ti + CASE WHEN l.keyword = 'view' THEN 1 ELSE 0 END,
+     CASE WHEN w.s = 1 AND l.keyword = 'click' OR w.s = 2 AND l.keyword = 'purchase' THEN 'step' WHEN l.keyword = 'view' THEN 'start' ELSE 'dangling' END, w.s
+   FROM walk w JOIN lines l ON l.thread = w.thread AND l.lino = w.lino + 1),
+ paces AS (SELECT *, 'events#' || target || '#' || thread || '#' || ti AS ti_id, 'events#' || target || '#' || thread || '#' || lino AS pace_id,
+     'e' || s AS edge, 'n' || s AS to_node, row_number() OVER (PARTITION BY thread, ti ORDER BY lino) - 1 AS seq
+   FROM walk WHERE status <> 'dangling'),
+ insts AS (SELECT ti_id, target, thread, host, count(*) AS n_paces, min(us) AS from_us, max(us) AS to_us, max(s) = 3 AS is_complete
+   FROM paces GROUP BY ti_id, target, thread, host),
+ ints AS (SELECT *, to_us - us AS lapse, edge || '[' || to_node || ']' || to_edge AS path FROM (
+   SELECT *, lead(us) OVER w AS to_us, lead(edge) OVER w AS to_edge FROM paces WINDOW w AS (PARTITION BY ti_id ORDER BY seq)) WHERE to_us IS NOT NULL)"""
+)
+
+
+def _zip(a: str, b: str, key: str = "k") -> str:
+    return f"""
+ f AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY us, event_id) AS rn FROM lines WHERE keyword = '{a}'),
+ t AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY us, event_id) AS rn FROM lines WHERE keyword = '{b}'),
+ linked AS (SELECT f.event_id AS from_id, t.event_id AS to_id, f.us AS from_us, t.us AS to_us, f.host AS from_host, t.host AS to_host FROM f JOIN t ON f.{key} = t.{key} AND f.rn = t.rn)"""
+
+
+def _linked(spark: SparkSession, sf_dir: str, strategy: str = "ONE", a: str = "view", b: str = "click") -> DataFrame:
+    t = trace(spark, sf_dir)
+    return links.link(_items(t, a), _items(t, b), ["k"], strategy)
+
+
+# -- scans, checks ----------------------------------------------------------------------------------------------------
+@query(f"WITH {LINES} SELECT thread, lino, keyword, us FROM lines WHERE keyword IN ('view', 'click') AND value > 50")
+def line_scan_filter(spark, sf_dir):
+    return trace(spark, sf_dir).where("keyword in ('view', 'click') and value > 50").select("thread", "lino", "keyword", "us")
+
+
+@query(
+    f"""WITH {LINES}, per AS (SELECT role AS component, target, host, count(DISTINCT thread) AS threads, count(*) AS lines FROM lines GROUP BY ALL)
+ SELECT component, count(DISTINCT target) AS targets, count(DISTINCT host) AS hosts, CAST(sum(threads) AS BIGINT) AS threads,
+ CAST(sum(lines) AS BIGINT) AS lines, avg(lines) AS mean_lines, min(lines) AS min_lines, max(lines) AS max_lines FROM per GROUP BY component"""
+)
+def component_summary(spark, sf_dir):
+    return tracelog.component_summary(trace(spark, sf_dir).withColumn("component", F.col("role")))
+
+
+@query(
+    f"""WITH {LINES} SELECT event_id, CASE WHEN keyword = 'error' THEN 'keyword,time' WHEN value < 10 THEN 'time' ELSE '' END AS missing
+ FROM lines WHERE keyword = 'error' OR value < 10"""
+)
+def line_validation(spark, sf_dir):
+    t = trace(spark, sf_dir).withColumn("seconds", F.col("us") / 1e6)
+    t = t.withColumn("time", F.when((F.col("keyword") != "error") & (F.col("value") >= 10), F.col("us").cast("string"))).withColumn("keyword", F.when(F.col("keyword") != "error", F.col("keyword")))
+    return tracelog.check_lines(t).where(F.size("missing") > 0).select("event_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("SELECT CAST(CAST(value AS INTEGER) % 50 AS VARCHAR) AS target, count(DISTINCT user_id % 4) AS hosts, count(DISTINCT user_id % 2) AS components FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 4) > 1 OR count(DISTINCT user_id % 2) > 1")
+def target_invariants(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    x = e.select((F.round("value").cast("int") % 50).cast("string").alias("target"), (F.col("user_id") % 4).alias("host"), (F.col("user_id") % 2).alias("component"))
+    return tracelog.check_targets(x)
+
+
+@query(
+    f"""WITH {LINES}, x AS (SELECT thread AS source, lino, target, CASE WHEN k % 3 > 0 THEN 'a' || target END AS target_alias FROM lines),
+ y AS (SELECT *, first_value(target_alias IS NOT NULL) OVER (PARTITION BY source ORDER BY lino) AS has FROM x)
+ SELECT source, lino, CASE WHEN has THEN target_alias ELSE target END AS alias, (target_alias IS NOT NULL) = has AS alias_ok FROM y"""
+)
+def alias_policy(spark, sf_dir):
+    t = trace(spark, sf_dir).select(F.col("thread").alias("source"), "lino", "target", F.when(F.col("k") % 3 > 0, F.concat(F.lit("a"), "target")).alias("target_alias"))
+    return tracelog.with_alias(t).select("source", "lino", "alias", "alias_ok")
+
+
+def _log(t: DataFrame) -> DataFrame:
+    """Log lines in the bundled format, made of the events."""
+    clock_ = F.format_string("%02d:%02d:%02d.%06d", F.expr("(us div 3600000000) % 24"), F.expr("(us div 60000000) % 60"), F.expr("(us div 1000000) % 60"), F.expr("us % 1000000"))
+    line = F.concat(
+        F.lit("["), clock_, F.lit("] (+0.000001) h"), F.col("host").cast("string"), F.lit(":fio:"), F.col("thread"), F.lit(" shop:"), F.col("keyword"),
+        F.lit(": { cpu_id = 0 }, { pthread_id = "), F.col("thread"), F.lit(" }, { k = "), F.col("k").cast("string"), F.lit(", target = "), F.col("event_id").cast("string"), F.lit(" }"),
+    )
+    return t.select(F.concat(F.lit("h"), F.col("host").cast("string")).alias("source"), F.col("event_id").alias("lino"), line.alias("line"))
+
+
+@query(
+    f"""WITH {LINES} SELECT 'h' || host AS host, event_id AS lino, 'app' AS component, 'fio:' || thread AS target, thread, keyword,
+ CAST(k AS VARCHAR) AS k, CAST(event_id AS VARCHAR) AS target_a, round(((us // 1000000) % 86400) + (us % 1000000) / 1000000.0, 6) AS seconds FROM lines"""
+)
+def log_line_parse(spark, sf_dir):
+    got = tracelog.parse(_log(trace(spark, sf_dir)), "shop", {"fio": "app"}, rename={"target": "target_a"})
+    at = lambda k: F.element_at("vars", F.lit(k)).alias(k)
+    return got.select("host", "lino", "component", "target", "thread", "keyword", at("k"), at("target_a"), F.round("seconds", 6).alias("seconds"))
+
+
+@query(f"WITH {LINES} SELECT event_id, CAST(k AS VARCHAR) AS k, keyword AS kw FROM lines")
+def kv_parse(spark, sf_dir):
+    body = F.concat(F.lit("k="), F.col("k").cast("string"), F.lit(",kw="), "keyword", F.lit(",none="))
+    v = trace(spark, sf_dir).select("event_id", tracelog.key_values(body, spaced=False).alias("v"))
+    return v.select("event_id", F.element_at("v", "k").alias("k"), F.element_at("v", "kw").alias("kw"))
+
+
+@query(f"WITH {LINES} SELECT event_id, list_aggregate(list_sort(list_intersect(['k', keyword], ['view', 'k'])), 'string_agg', ',') AS clash FROM lines")
+def key_conflicts(spark, sf_dir):
+    both = F.array_intersect(F.array(F.lit("k"), F.col("keyword")), F.array(F.lit("view"), F.lit("k")))
+    return trace(spark, sf_dir).select("event_id", F.array_join(F.sort_array(both), ",").alias("clash"))
+
+
+# -- automaton --------------------------------------------------------------------------------------------------------
+@query(f"WITH RECURSIVE {WALK} SELECT thread, lino, status, CASE WHEN status <> 'dangling' THEN ti END AS ti, CASE WHEN status <> 'dangling' THEN 'e' || s END AS edge FROM walk")
+def automaton_steps(spark, sf_dir):
+    return A.segment(trace(spark, sf_dir), shop_automaton()).select("thread", "lino", "status", "ti", "edge")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id, thread, n_paces, from_us, to_us, is_complete FROM insts")
+def automaton_instances(spark, sf_dir):
+    return A.instances(paces(spark, sf_dir)).select("ti_id", "thread", "n_paces", "from_us", "to_us", "is_complete")
+
+
+@query(
+    f"""WITH RECURSIVE {WALK} SELECT 'e' || s0 || '->n' || s0 AS position, keyword, count(*) AS errors, min(lino) AS first_lino
+ FROM walk WHERE s0 > 0 AND (status = 'dangling' OR status = 'start' AND s0 < 3) GROUP BY ALL"""
+)
+def automaton_dangling_digest(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    got = A.segment(t, shop_automaton()).join(t.select("thread", "lino", "keyword"), ["thread", "lino"])
+    return A.error_digest(got)
+
+
+@query(
+    f"""WITH RECURSIVE {WALK} SELECT path, count(*) AS n, CAST(sum(lapse) AS BIGINT) AS total, avg(lapse) AS mean,
+ CAST(sum(lapse) AS DOUBLE) / sum(sum(lapse)) OVER () AS share FROM ints GROUP BY path"""
+)
+def thread_intervals_by_path(spark, sf_dir):
+    return stats.totals(stats.thread_intervals(paces(spark, sf_dir)), "path", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT e.edge FROM (VALUES ('e1'), ('e2'), ('e3'), ('e4')) e(edge) WHERE e.edge NOT IN (SELECT edge FROM paces)")
+def unseen_edges(spark, sf_dir):
+    declared = spark.createDataFrame([(e.name,) for e in shop().iter_edges()] + [("e4",)], "edge string")
+    return A.coverage(paces(spark, sf_dir), declared)
+
+
+@query(
+    f"""WITH RECURSIVE {WALK} SELECT ti_id, CASE WHEN count(DISTINCT k) = 1 THEN CAST(min(k) AS VARCHAR) END AS single, count(DISTINCT k) AS n_values
+ FROM paces GROUP BY ti_id"""
+)
+def var_folding(spark, sf_dir):
+    v = paces(spark, sf_dir).select("ti_id", F.lit("k").alias("key"), F.col("k").cast("string").alias("value"))
+    got = variables.fold(v, "ti_id", "key", "value")
+    return got.select("ti_id", "single", F.coalesce(F.size("several"), F.lit(1)).cast("long").alias("n_values"))
+
+
+@query(
+    f"""WITH {LINES}, x AS (SELECT event_id, k, sum(CASE WHEN keyword = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY target, k ORDER BY lino ROWS UNBOUNDED PRECEDING) AS cnt,
+ max(CASE WHEN keyword = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY target ORDER BY lino ROWS UNBOUNDED PRECEDING) AS seen FROM lines)
+ SELECT event_id, CASE WHEN seen = 1 THEN CAST(cnt AS BIGINT) || ':' || k ELSE CAST(k AS VARCHAR) END AS versioned FROM x"""
+)
+def refresh_version(spark, sf_dir):
+    t = trace(spark, sf_dir).withColumn("key", F.lit("k")).withColumn("v", F.col("k").cast("string"))
+    return variables.refresh(t, "target", ["lino"], "key", "v", F.col("keyword") == "signup").select("event_id", "versioned")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT p.pace_id, CAST(coalesce(CASE WHEN p.k % 2 = 0 THEN p.k END, m.least) AS VARCHAR) AS k FROM paces p JOIN (SELECT ti_id, min(k) AS least FROM paces GROUP BY ti_id) m USING (ti_id)")
+def env_lookup(spark, sf_dir):
+    p = paces(spark, sf_dir)
+    own = F.when(F.col("k") % 2 == 0, F.create_map(F.lit("k"), F.col("k").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    ti = p.groupBy("ti_id").agg(F.create_map(F.lit("k"), F.min("k").cast("string")).alias("ti_vars"))
+    return p.withColumn("vars", own).join(ti, "ti_id").select("pace_id", variables.lookup("k").alias("k"))
+
+
+@query(
+    f"""WITH RECURSIVE {WALK}, v AS (SELECT ti_id, 'k' AS key, CAST(k AS VARCHAR) AS value FROM paces UNION ALL SELECT ti_id, 'host', CAST(host AS VARCHAR) FROM paces),
+ per AS (SELECT ti_id, key, count(DISTINCT value) AS n, min(value) AS value FROM v GROUP BY ALL)
+ SELECT ti_id, key, value FROM per WHERE key IN (SELECT key FROM per GROUP BY key HAVING max(n) = 1)"""
+)
+def request_vars_single(spark, sf_dir):
+    p = paces(spark, sf_dir)
+    v = p.select("ti_id", F.explode(F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("host"), F.col("host").cast("string"))).alias("key", "value"))
+    return variables.single_valued(v, "ti_id", "key", "value")
+
+
+# -- links ------------------------------------------------------------------------------------------------------------
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_id, to_id, to_us - from_us AS lapse FROM linked")
+def link_one_fifo(spark, sf_dir):
+    return _linked(spark, sf_dir).select("from_id", "to_id", (F.col("to_us") - F.col("from_us")).alias("lapse"))
+
+
+@query(f"WITH {LINES},{_zip('view', 'purchase')} SELECT from_id, to_id FROM linked")
+def link_all(spark, sf_dir):
+    return _linked(spark, sf_dir, "ALL", "view", "purchase").select("from_id", "to_id")
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT f.event_id AS from_id, t.event_id AS to_id FROM t JOIN f ON f.k = t.k AND f.rn = 1")
+def link_any(spark, sf_dir):
+    return _linked(spark, sf_dir, "ANY").select("from_id", "to_id")
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, f2 AS (SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS rn FROM lines WHERE keyword = 'view' AND event_id NOT IN (SELECT from_id FROM linked)),
+ t2 AS (SELECT event_id, host, row_number() OVER (PARTITION BY host ORDER BY us, event_id) AS rn FROM lines WHERE keyword = 'purchase')
+ SELECT 'by_k' AS rule, from_id, to_id FROM linked UNION ALL SELECT 'by_host', f2.event_id, t2.event_id FROM f2 JOIN t2 ON f2.host = t2.host AND f2.rn = t2.rn"""
+)
+def link_two_rules_consumed(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    sides = {k: _items(t, k) for k in ("view", "click", "purchase")}
+    rules = [{"name": "by_k", "from": "view", "to": "click", "key": ["k"], "strategy": "ONE"}, {"name": "by_host", "from": "view", "to": "purchase", "key": ["host"], "strategy": "ONE"}]
+    return links.link_rules(rules, sides, sides).select("rule", "from_id", "to_id")
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT 'from' AS side, event_id AS pace_id FROM f WHERE event_id NOT IN (SELECT from_id FROM linked) UNION ALL SELECT 'to', event_id FROM t WHERE event_id NOT IN (SELECT to_id FROM linked)")
+def link_misses(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    got = _linked(spark, sf_dir)
+    a, b = links.misses(_items(t, "view"), got, "from"), links.misses(_items(t, "click"), got, "to")
+    return a.select(F.lit("from").alias("side"), "pace_id").unionAll(b.select(F.lit("to").alias("side"), "pace_id"))
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, d AS (SELECT count(*) AS n_links, count(*) FILTER (to_us < from_us) AS n_negative, max(from_us - to_us) FILTER (to_us < from_us) AS max_negative_us FROM linked)
+ SELECT d.*, a.n AS n_from, b.n AS n_to, a.n - n_links AS from_missed, b.n - n_links AS to_missed FROM d, (SELECT count(*) AS n FROM f) a, (SELECT count(*) AS n FROM t) b"""
+)
+def link_diagnostics(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    return links.diagnostics(_items(t, "view"), _items(t, "click"), _linked(spark, sf_dir))
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_id, to_id, from_us - to_us AS early FROM linked WHERE from_us > to_us")
+def negative_offsets(spark, sf_dir):
+    return clock.violations(_linked(spark, sf_dir)).select("from_id", "to_id", (F.col("from_us") - F.col("to_us")).alias("early"))
+
+
+def _hosted(spark, sf_dir) -> DataFrame:
+    t = trace(spark, sf_dir)
+    h = t.select("event_id", "host")
+    got = links.link(_items(t, "view"), _items(t, "click"), ["k"])
+    got = got.join(h.select(F.col("event_id").alias("from_id"), F.col("host").alias("from_host")), "from_id")
+    return got.join(h.select(F.col("event_id").alias("to_id"), F.col("host").alias("to_host")), "to_id")
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT CASE WHEN from_host <> to_host THEN 'remote' ELSE 'local_remote' END AS remote_type, count(*) AS n FROM linked GROUP BY 1")
+def remote_type_counts(spark, sf_dir):
+    got = _hosted(spark, sf_dir)
+    return got.groupBy(links.remote_type(F.lit(True), F.col("from_host"), F.col("to_host")).alias("remote_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_id, count(*) AS links, count(*) = 1 AS success FROM linked GROUP BY from_id")
+def strategy_success(spark, sf_dir):
+    return links.success(_linked(spark, sf_dir).withColumn("rule", F.lit("r")), "ALL", ["r"])
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, g AS (SELECT event_id, us, row_number() OVER (PARTITION BY k ORDER BY us, event_id) AS rn, k FROM lines WHERE keyword = 'signup'),
+ e AS (SELECT event_id, us, row_number() OVER (PARTITION BY k ORDER BY us, event_id) AS rn, k FROM lines WHERE keyword = 'error'),
+ n AS (SELECT f.event_id AS fi, f.us AS fu, g.event_id AS gi, g.us AS gu, e.event_id AS ei, e.us AS eu, t.event_id AS tid, t.us AS tu
+   FROM f JOIN t ON f.k = t.k AND f.rn = t.rn JOIN g ON g.k = f.k AND g.rn = f.rn JOIN e ON e.k = t.k AND e.rn = t.rn)
+ SELECT fi AS request_from, 'enter' AS kind, fi AS a, fu AS a_us, gi AS b, gu AS b_us FROM n UNION ALL
+ SELECT fi, 'nested', gi, gu, ei, eu FROM n UNION ALL SELECT fi, 'leave', ei, eu, tid, tu FROM n"""
+)
+def request_nesting(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    main = links.link(_items(t, "view"), _items(t, "click"), ["k"])
+    entering, leaving = links.link(_items(t, "view"), _items(t, "signup"), ["k"]), links.link(_items(t, "error"), _items(t, "click"), ["k"])
+    return links.nest(main, entering, leaving)
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def dimension_join(spark, sf_dir):
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, F.col("n_regionkey") == r["r_regionkey"], "left").select("c_custkey", "n_name", "r_name")
+
+
+@query("SELECT event_id, coalesce(n_name, 'unknown') AS alias FROM events LEFT JOIN nation ON user_id % 30 = n_nationkey")
+def key_translation(spark, sf_dir):
+    e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
+    return e.join(n, F.col("user_id") % 30 == n["n_nationkey"], "left").select("event_id", F.coalesce("n_name", F.lit("unknown")).alias("alias"))
+
+
+# -- requests ---------------------------------------------------------------------------------------------------------
+def _ti_links(p: DataFrame) -> DataFrame:
+    """Purchases linked to later instances' views with the same k: instance to instance."""
+    f = p.where("edge = 'e3'").select("pace_id", "us", "k", "ti_id")
+    t = p.where("edge = 'e1'").select("pace_id", "us", "k", "ti_id")
+    got = links.link(f, t, ["k"])
+    got = got.join(f.select(F.col("pace_id").alias("from_id"), F.col("ti_id").alias("from_ti")), "from_id")
+    return got.join(t.select(F.col("pace_id").alias("to_id"), F.col("ti_id").alias("to_ti")), "to_id")
+
+
+TI_LINKS = (
+    WALK
+    + """,
+ pf AS (SELECT pace_id, us, k, ti_id, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e3'),
+ pt AS (SELECT pace_id, us, k, ti_id, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e1'),
+ tl AS (SELECT pf.pace_id AS from_id, pt.pace_id AS to_id, pf.ti_id AS from_ti, pt.ti_id AS to_ti FROM pf JOIN pt USING (k, rn)),
+ nb AS (SELECT from_ti AS a, to_ti AS b FROM tl UNION SELECT to_ti, from_ti FROM tl),
+ reach AS (SELECT ti_id AS n, ti_id AS m FROM insts UNION SELECT r.n, nb.b FROM reach r JOIN nb ON nb.a = r.m),
+ grp AS (SELECT n AS ti_id, min(m) AS group_id FROM reach GROUP BY n)"""
+)
+
+
+def _grouped(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = paces(spark, sf_dir)
+    got = _ti_links(p)
+    return p, got, requests.groups(A.instances(p).select("ti_id"), got.select("from_ti", "to_ti"))
+
+
+@query(f"WITH RECURSIVE {TI_LINKS} SELECT ti_id, group_id FROM grp")
+def connected_components(spark, sf_dir):
+    return _grouped(spark, sf_dir)[2]
+
+
+_BUILT = """SELECT group_id, 'purchase' AS request_type, CASE WHEN bool_or(is_complete) THEN 'BOUGHT' END AS request_state,
+ count(*) AS len_threadinss, CAST(sum(n_paces - 1) AS BIGINT) AS len_paces, count(DISTINCT thread) AS len_threads, min(from_us) AS from_us, max(to_us) AS last_us,
+ concat_ws(',', CASE WHEN count(*) > 1 THEN 'several starts' END, CASE WHEN count(*) FILTER (is_complete) = 0 THEN 'no end' WHEN count(*) FILTER (is_complete) > 1 THEN 'several ends' END,
+  CASE WHEN count(*) FILTER (NOT is_complete) > 0 THEN 'incomplete' END) AS errors
+ FROM insts JOIN grp USING (ti_id) GROUP BY group_id"""
+
+
+def _built(spark, sf_dir) -> DataFrame:
+    p, _, group_of = _grouped(spark, sf_dir)
+    inst = A.instances(p).join(p.groupBy("ti_id").agg(F.min("host").alias("host")), "ti_id")
+    return requests.build(inst, group_of)
+
+
+@query(f"WITH RECURSIVE {TI_LINKS} {_BUILT}")
+def request_build(spark, sf_dir):
+    cols = ["group_id", "request_type", "request_state", "len_threadinss", "len_paces", "len_threads", "from_us", "last_us"]
+    return _built(spark, sf_dir).select(*cols, F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"WITH RECURSIVE {TI_LINKS} SELECT errors, count(*) AS n FROM ({_BUILT}) GROUP BY errors")
+def request_errors(spark, sf_dir):
+    return _built(spark, sf_dir).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id, 'purchase' || row_number() OVER (ORDER BY from_us, ti_id) AS request FROM insts WHERE is_complete")
+def auto_names(spark, sf_dir):
+    done = A.instances(paces(spark, sf_dir)).where("is_complete").withColumnRenamed("ti_id", "group_id")
+    return requests.auto_names(done).select(F.col("group_id").alias("ti_id"), "request")
+
+
+def _bought(spark, sf_dir) -> DataFrame:
+    """Main paths of the complete instances, each a request of its own."""
+    p = paces(spark, sf_dir).withColumn("group_id", F.col("ti_id"))
+    p = p.withColumn("is_start", F.col("edge") == "e1").withColumn("is_end", F.col("edge") == "e3")
+    none = p.where("false").select(F.col("pace_id").alias("from_id"), F.col("pace_id").alias("to_id"))
+    return requests.main_path(p, none)
+
+
+@query(f"""WITH RECURSIVE {WALK} SELECT i.ti_id AS group_id, CAST(i.seq AS INTEGER) AS pos, i.pace_id AS from_id FROM ints i JOIN insts USING (ti_id) WHERE is_complete""")
+def main_path(spark, sf_dir):
+    return _bought(spark, sf_dir).where("ok").select("group_id", "pos", "from_id")
+
+
+def _intervals(spark, sf_dir) -> DataFrame:
+    return stats.thread_intervals(paces(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT pace_id, row_number() OVER (PARTITION BY thread, path ORDER BY us) AS \"order\" FROM ints")
+def path_order(spark, sf_dir):
+    return requests.occurrence(_intervals(spark, sf_dir), ["thread", "path"], ["us"]).select("pace_id", "order")
+
+
+# -- clocks -----------------------------------------------------------------------------------------------------------
+_SKEWED = """skewed AS (SELECT from_host, to_host, to_us - from_us + (from_host - to_host) * 1000000 AS lapse FROM linked WHERE to_us > from_us AND from_host <> to_host)"""
+
+
+def _skewed(spark, sf_dir) -> DataFrame:
+    """Forward links whose hosts' clocks are off by a second a host number."""
+    got = _hosted(spark, sf_dir).where("to_us > from_us and from_host <> to_host")
+    skew = (F.col("from_host") - F.col("to_host")) * 1_000_000
+    return got.withColumn("to_us", F.col("to_us") + skew)
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, {_SKEWED} SELECT least(from_host, to_host) AS host_a, greatest(from_host, to_host) AS host_b,
+ max(-lapse) FILTER (from_host > to_host) AS low, min(lapse) FILTER (from_host < to_host) AS high FROM skewed GROUP BY 1, 2"""
+)
+def clock_pair_bounds(spark, sf_dir):
+    return clock.pair_bounds(_skewed(spark, sf_dir))
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, {_SKEWED}, b AS (SELECT least(from_host, to_host) AS host_a, greatest(from_host, to_host) AS host_b,
+ max(-lapse) FILTER (from_host > to_host) AS low, min(lapse) FILTER (from_host < to_host) AS high FROM skewed GROUP BY 1, 2) SELECT * FROM b WHERE low > 0 OR high < 0"""
+)
+def clock_violated_pairs(spark, sf_dir):
+    return clock.violated_pairs(clock.pair_bounds(_skewed(spark, sf_dir)))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violated")
+def clock_post_check(spark, sf_dir):
+    x = _skewed(spark, sf_dir).withColumn("from_host", F.col("from_host").cast("string")).withColumn("to_host", F.col("to_host").cast("string"))
+    off = clock.offsets(x)
+    a, b = (off.select(F.col("host").alias(f"{s}_host"), F.col("offset").alias(f"{s}_off")) for s in ("from", "to"))
+    y = x.join(F.broadcast(a), "from_host", "left").join(F.broadcast(b), "to_host", "left")
+    late = clock.corrected(F.col("from_us"), F.col("from_off")) > clock.corrected(F.col("to_us"), F.col("to_off")) + 1e-3
+    return y.agg(F.count(F.when(late, 1)).alias("violated"))
+
+
+@query(f"WITH {LINES} SELECT event_id, us - (SELECT min(us) FROM lines WHERE keyword = 'view') AS us FROM lines")
+def zero_base(spark, sf_dir):
+    return clock.zero_base(trace(spark, sf_dir), F.when(F.col("keyword") == "view", F.col("us"))).select("event_id", "us")
+
+
+# -- statistics -------------------------------------------------------------------------------------------------------
+_FIVE = "count({0}) AS n, min({0}) AS lo, quantile_cont({0}, 0.25) AS p25, quantile_cont({0}, 0.5) AS p50, quantile_cont({0}, 0.75) AS p75, max({0}) AS hi"
+
+
+@query(f"SELECT o_orderpriority, n, lo, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, hi FROM (SELECT o_orderpriority, {_FIVE.format('o_totalprice')} FROM orders GROUP BY o_orderpriority)")
+def dist_summary(spark, sf_dir):
+    got = stats.five_numbers(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    return got.withColumns({c: F.round(c, 4) for c in ("p25", "p50", "p75")})
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT path, {_FIVE.format('lapse')} FROM ints GROUP BY path")
+def lapse_by_dimension(spark, sf_dir):
+    return Intervals(_intervals(spark, sf_dir)).lapse_by("path")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT host, quantile_cont(lapse, 0.5) AS median, count(*) AS n FROM ints GROUP BY host ORDER BY median DESC, host LIMIT 2")
+def slowest_paths_topk(spark, sf_dir):
+    return stats.top_by_median(_intervals(spark, sf_dir), "host", "lapse", 2)
+
+
+def _orders_as_intervals(spark, sf_dir) -> DataFrame:
+    """A line item is an interval from its order's date to its ship date, on the host of its supplier."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    x = li.select("l_orderkey", "l_returnflag", "l_suppkey", day("l_shipdate").alias("s")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), day("o_orderdate").alias("o")), "l_orderkey")
+    return x.select((F.col("l_suppkey") % 8).cast("int").alias("host"), F.col("l_returnflag").alias("flag"), F.least("s", "o").alias("from_us"), F.greatest("s", "o").alias("to_us"))
+
+
+SPANS = """iv AS (SELECT CAST(l_suppkey % 8 AS INTEGER) AS host, l_returnflag AS flag, least(o, s) AS from_us, greatest(o, s) AS to_us FROM (
+ SELECT l_suppkey, l_returnflag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS o
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
+
+
+@query(
+    f"""WITH {SPANS}, m AS (SELECT *, max(to_us) OVER (PARTITION BY host, flag ORDER BY from_us, to_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv)
+ SELECT host, flag, CAST(sum(greatest(0, to_us - greatest(from_us, coalesce(pm, from_us)))) AS BIGINT) AS busy, CAST(sum(to_us - from_us) AS BIGINT) AS added,
+ CAST(sum(to_us - from_us) AS DOUBLE) / sum(greatest(0, to_us - greatest(from_us, coalesce(pm, from_us)))) AS concurrency FROM m GROUP BY host, flag"""
+)
+def projection_by_key(spark, sf_dir):
+    return stats.union_measure(_orders_as_intervals(spark, sf_dir), ["host", "flag"])
+
+
+_STEPS = f"""{SPANS}, d AS (SELECT host, x, CAST(sum(d) AS BIGINT) AS d FROM (SELECT host, from_us AS x, 1 AS d FROM iv UNION ALL SELECT host, to_us, -1 FROM iv) GROUP BY host, x HAVING sum(d) <> 0),
+ st AS (SELECT host, x, CAST(sum(d) OVER (PARTITION BY host ORDER BY x) AS BIGINT) AS level FROM d)"""
+
+
+@query(f"WITH {_STEPS} SELECT host, x, level FROM st")
+def concurrency_steps(spark, sf_dir):
+    return stats.steps(_orders_as_intervals(spark, sf_dir), ["host"])
+
+
+@query(
+    f"""WITH {_STEPS}, g AS (SELECT x, host FROM (SELECT DISTINCT x FROM st), (SELECT DISTINCT host FROM st))
+ SELECT g.host, g.x, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY g.host ORDER BY g.x), 0) AS level FROM g LEFT JOIN st USING (host, x)"""
+)
+def aligned_steps(spark, sf_dir):
+    return stats.aligned(stats.steps(_orders_as_intervals(spark, sf_dir), ["host"]), "host")
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_host, count(*) FILTER (to_host = 0) AS \"0\", count(*) FILTER (to_host = 1) AS \"1\", count(*) FILTER (to_host = 2) AS \"2\", count(*) FILTER (to_host = 3) AS \"3\" FROM linked WHERE from_host <> to_host GROUP BY from_host")
+def host_matrix(spark, sf_dir):
+    return stats.matrix(_hosted(spark, sf_dir).where("from_host <> to_host"), "from_host", "to_host", [0, 1, 2, 3])
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, per AS (SELECT from_host, to_host, count(*) AS n FROM linked GROUP BY ALL)
+ SELECT from_host % 2 AS from_component, to_host % 2 AS to_component, avg(n) AS mean_links FROM per GROUP BY 1, 2"""
+)
+def component_matrix(spark, sf_dir):
+    per = _hosted(spark, sf_dir).groupBy("from_host", "to_host").agg(F.count("*").alias("n"))
+    return per.groupBy((F.col("from_host") % 2).alias("from_component"), (F.col("to_host") % 2).alias("to_component")).agg(F.avg("n").alias("mean_links"))
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_host, to_host, count(*) AS n FROM linked WHERE from_host <> to_host GROUP BY CUBE (from_host, to_host)")
+def matrix_margins(spark, sf_dir):
+    return _hosted(spark, sf_dir).where("from_host <> to_host").cube("from_host", "to_host").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM events GROUP BY event_type")
+def value_counts_pct(spark, sf_dir):
+    return stats.value_counts(table(spark, sf_dir, "events"), ["event_type"])
+
+
+@query("SELECT CAST(CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")
+def histogram(spark, sf_dir):
+    return stats.histogram(table(spark, sf_dir, "events"), "value", 0, 100, 10)
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT CAST(lapse // 1000000000 AS BIGINT) AS lapse_bin, CAST(((us + to_us) // 2) // 1000000000000 AS BIGINT) AS time_bin, count(*) AS n FROM ints GROUP BY 1, 2")
+def lapse_time_density(spark, sf_dir):
+    x = _intervals(spark, sf_dir)
+    return x.groupBy(F.expr("lapse div 1000000000").alias("lapse_bin"), F.expr("((from_us + to_us) div 2) div 1000000000000").alias("time_bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT thread, CAST(sum(to_us - from_us) AS BIGINT) AS busy FROM insts GROUP BY thread")
+def thread_busy_time(spark, sf_dir):
+    return A.instances(paces(spark, sf_dir)).groupBy("thread").agg(F.sum(F.col("to_us") - F.col("from_us")).alias("busy"))
+
+
+@query(f"WITH {LINES} SELECT event_id, row_number() OVER (PARTITION BY thread, keyword ORDER BY lino) AS nth FROM lines")
+def nth_occurrence(spark, sf_dir):
+    return trace(spark, sf_dir).select("event_id", F.row_number().over(Window.partitionBy("thread", "keyword").orderBy("lino")).alias("nth"))
+
+
+@query(
+    f"""WITH RECURSIVE {WALK}, p AS (SELECT *, string_agg(to_edge, '>') OVER (PARTITION BY ti_id ORDER BY seq) AS prefix FROM ints)
+ SELECT prefix, count(*) AS n, CAST(sum(lapse) AS BIGINT) AS total, CAST(len(string_split(prefix, '>')) AS INTEGER) AS depth FROM p GROUP BY prefix"""
+)
+def workflow_trie(spark, sf_dir):
+    return workflow.trie(_intervals(spark, sf_dir), "ti_id", "seq")
+
+
+@query("SELECT * FROM (VALUES ('e2', 'e2'), ('e2>e3', 'e2>e3')) t(prefix, merged)")
+def workflow_fold(spark, sf_dir):
+    return workflow.folded(workflow.trie(_intervals(spark, sf_dir), "ti_id", "seq"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT 'read' AS stage, 'lines' AS counter, count(*) AS n FROM lines UNION ALL SELECT 'build_t', 'paces', count(*) FROM paces UNION ALL SELECT 'build_t', 'instances', count(*) FROM insts UNION ALL SELECT 'build_t', 'dangling', count(*) FROM walk WHERE status = 'dangling'")
+def stage_report(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    s = A.segment(t, shop_automaton())
+    one = s.agg(F.count("*").alias("lines"), F.count(F.when(F.col("status") != "dangling", 1)).alias("paces"), F.count(F.when(F.col("status") == "start", 1)).alias("instances"), F.count(F.when(F.col("status") == "dangling", 1)).alias("dangling"))
+    rows = [F.struct(F.lit(st).alias("stage"), F.lit(c).alias("counter"), F.col(c).alias("n")) for st, c in (("read", "lines"), ("build_t", "paces"), ("build_t", "instances"), ("build_t", "dangling"))]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT 'thread' AS kind, count(*) AS n, CAST(sum(lapse) AS BIGINT) AS total FROM ints UNION ALL SELECT 'link', count(*), CAST(sum(pt.us - pf.us) AS BIGINT) FROM (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e3') pf JOIN (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e1') pt USING (k, rn)")
+def interval_union_common(spark, sf_dir):
+    p = paces(spark, sf_dir)
+    joins = _ti_links(p).withColumn("lapse", F.col("to_us") - F.col("from_us"))
+    got = Intervals.union(stats.thread_intervals(p).select("from_us", "to_us", "lapse"), joins.select("from_us", "to_us", "lapse"))
+    return got.frame.groupBy("kind").agg(F.count("*").alias("n"), F.sum("lapse").alias("total"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT host, CAST(sum(lapse) FILTER (edge = 'e1') AS DOUBLE) / sum(lapse) AS share FROM ints JOIN insts i USING (ti_id, host) WHERE i.is_complete GROUP BY host")
+def mainpath_share(spark, sf_dir):
+    p = paces(spark, sf_dir)
+    done = A.instances(p).where("is_complete").select("ti_id")
+    x = stats.thread_intervals(p).join(done, "ti_id", "left_semi")
+    return x.groupBy("host").agg(F.try_divide(F.sum(F.when(F.col("edge") == "e1", F.col("lapse"))), F.sum("lapse")).alias("share"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT path, int_type, count(*) AS n FROM (SELECT path, 'thread' AS int_type FROM ints) GROUP BY ALL")
+def kind_counts(spark, sf_dir):
+    return _intervals(spark, sf_dir).groupBy("path", F.lit("thread").alias("int_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM ints WHERE path = 'e1[n1]e2'")
+def filter_bypath(spark, sf_dir):
+    return Intervals(_intervals(spark, sf_dir)).by_path("e1[n1]e2").frame.select("pace_id", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM ints WHERE to_node = 'n2'")
+def filter_byiname(spark, sf_dir):
+    return Intervals(_intervals(spark, sf_dir)).by_iname("n2").frame.select("pace_id", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT DISTINCT path FROM ints")
+def distinct_lists(spark, sf_dir):
+    return Intervals(_intervals(spark, sf_dir)).paths()
+
+
+def _requests(spark, sf_dir) -> Requests:
+    done = A.instances(paces(spark, sf_dir)).where("is_complete")
+    return Requests(done.select(F.col("ti_id").alias("request"), "from_us", F.col("to_us").alias("last_us"), F.col("n_paces").alias("len_paces")))
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id AS request, to_us - from_us AS lapse FROM insts WHERE is_complete ORDER BY lapse DESC, request LIMIT 1")
+def req_longest(spark, sf_dir):
+    return _requests(spark, sf_dir).longest().select("request", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id AS request, to_us - from_us AS lapse FROM insts WHERE is_complete ORDER BY lapse, request LIMIT 1")
+def req_shortest(spark, sf_dir):
+    return _requests(spark, sf_dir).shortest().select("request", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id AS request, n_paces AS len_paces FROM insts WHERE is_complete ORDER BY n_paces DESC, request LIMIT 1")
+def req_most_complex(spark, sf_dir):
+    return _requests(spark, sf_dir).most_complex().select("request", "len_paces")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id, CAST(dense_rank() OVER (PARTITION BY host ORDER BY thread) AS INTEGER) AS y, from_us, to_us FROM insts")
+def gantt_rows(spark, sf_dir):
+    inst = paces(spark, sf_dir).groupBy("ti_id", "host", "thread").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"))
+    return inst.select("ti_id", F.dense_rank().over(Window.partitionBy("host").orderBy("thread")).alias("y"), "from_us", "to_us")
+
+
+@query("SELECT 0 AS ord, 'components' AS key, '1' AS value UNION ALL SELECT 1, 'edges', '3' UNION ALL SELECT 2, 'events', CAST(count(*) AS VARCHAR) FROM events")
+def kv_report(spark, sf_dir):
+    n = table(spark, sf_dir, "events").count()
+    return tracelog.report([("components", 1), ("edges", len(list(shop().iter_edges()))), ("events", n)], spark)
