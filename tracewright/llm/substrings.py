@@ -75,13 +75,14 @@ def _segments(raw: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         yield h, seg, a, n
 
 
-_SEG = "kind tinyint, h long, seg long, doc long, th long, a int, n int"
+#: place holds the first string's offset, their number and the kind: a row is small, as there is one for 30 bytes of text.
+_SEG = "h long, seg long, doc long, th long, place long"
 
 
 def _rows(kind, h, seg, doc, th, a, n) -> pa.RecordBatch:
-    k = np.full(len(h), kind, np.int8) if np.isscalar(kind) else kind.astype(np.int8)
-    cols = [pa.array(k), pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(th), pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(cols, names=["kind", "h", "seg", "doc", "th", "a", "n"])
+    place = (a.astype(np.int64) << 8) | (n.astype(np.int64) << 1) | np.asarray(kind, np.int64)
+    cols = [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(doc), pa.array(th), pa.array(place)]
+    return pa.RecordBatch.from_arrays(cols, names=["h", "seg", "doc", "th", "place"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +117,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, content and place: kind 0 for repeated segments, kind 1 for the first of each content if contents differ."""
     last = None  # the last first-of-its-content row, and whether it was given out
     for b in batches:
-        kind, h, seg, doc, th, a, n = (c.to_numpy() for c in b.columns)
+        h, seg, doc, th, place = (c.to_numpy() for c in b.columns)
         if not len(h):
             continue
+        kind, n, a = place & 1, (place >> 1) & 127, place >> 8
         yield _rows(0, *(x[kind == 0] for x in (h, seg, doc, th, a, n)))
         h, seg, doc, th, a, n = (x[kind == 1] for x in (h, seg, doc, th, a, n))
         if not len(h):
@@ -342,6 +344,33 @@ def _finish(with_text: bool):
     return run
 
 
+def _placed(met: DataFrame, kind: int) -> DataFrame:
+    a, n = F.shiftright("place", 8).cast("int").alias("a"), F.shiftright("place", 1).bitwiseAND(F.lit(127)).cast("int").alias("n")
+    return met.where(F.col("place").bitwiseAND(F.lit(1)) == kind).select("h", "doc", "th", a, n)
+
+
+def _all_met(d: DataFrame) -> DataFrame:
+    """Repeated segments, and those whose strings have to be compared."""
+    long_ = d.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text")
+    rows = long_.mapInArrow(_scan, _SEG).repartition(partitions(d.sparkSession), "h")
+    kind = F.col("place").bitwiseAND(F.lit(1))
+    return stage(rows.sortWithinPartitions(kind, "h", "seg", "doc", "th", "place").mapInArrow(_meet, _SEG), "met")
+
+
+def _all_resolved(d: DataFrame, met: DataFrame) -> DataFrame:
+    """Runs of repeated strings in the segments that are equal to others in part."""
+    spans = _placed(met, 1).groupBy("doc", "th").agg(F.collect_list(F.struct("h", "a", "n")).alias("spans"))
+    partly = d.select("doc", "th", "text").join(spans, ["doc", "th"]).mapInArrow(_cut_out, "h long, doc long, th long, a int, n int, bytes binary")
+    rows = partly.distinct() if _repeated(d) else partly
+    rows = rows.repartition(partitions(d.sparkSession), "h").sortWithinPartitions("h")
+    return stage(rows.mapInArrow(_resolve, "doc long, th long, a int, n int"), "found")
+
+
+def _repeated(d: DataFrame) -> bool:
+    """Whether whole rows repeat; their segments then count once."""
+    return not d.groupBy("doc", "th").count().where("count > 1").isEmpty()
+
+
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], one row per row.
 
@@ -355,21 +384,16 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     and of the segment, decide equality of whole segments; partly equal ones are compared byte by byte.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     d = d.select("doc_id", key.alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
-    segments = d.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text").mapInArrow(_scan, _SEG)
-    met = segments.repartition(n, "h").sortWithinPartitions("kind", "h", "seg", "doc", "th", "a").mapInArrow(_meet, _SEG)
-    met = stage(met, "met")
+    if d.select("doc", "th").groupBy("doc").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
+        d = d.withColumn("th", F.lit(0).cast("long"))  # each id has one text: nothing more tells documents apart
+    met = _all_met(d)
     release(spark)
-    spans = met.where("kind = 1").groupBy("doc", "th").agg(F.collect_list(F.struct("h", "a", "n")).alias("spans"))
-    partly = d.select("doc", "th", "text").join(spans, ["doc", "th"]).dropDuplicates(["doc", "th"])
-    partly = partly.mapInArrow(_cut_out, "h long, doc long, th long, a int, n int, bytes binary")
-    found = partly.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_resolve, "doc long, th long, a int, n int")
-    found = stage(found, "found")
+    found = _all_resolved(d, met)
     release(spark)
-    both = met.where("kind = 0").select("doc", "th", "a", "n").unionAll(found)
+    both = _placed(met, 0).select("doc", "th", "a", "n").unionAll(found)
     gone = both.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
     out = d.join(gone, ["doc", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
