@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Languages mixed upward to tempered weights: every document stays, and stands as often as its rate says."""
     labelled = docs.select("doc_id", "text", F.col("lang").alias("domain"))
-    mixed = mixing.mix(docs, labelled, whole=True, keep=docs.columns)
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), "copies"))).select(docs.columns)
+    mixed = mixing.mix(docs, labelled, whole=True, carry=True)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), "copies"))).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -125,22 +125,21 @@ def target_totals(weights: np.ndarray, totals: np.ndarray, whole: bool) -> np.nd
     return weights * size
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, whole: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """n_tokens, domain, posterior, rate and copies for each row, beside the columns in `keep` (doc_id by default).
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None = None, whole: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, n_tokens, domain, posterior, rate and copies for each row; with `carry`, the whole row as the struct `row`.
 
     labelled: doc_id, text, domain. weights: target share of each domain's tokens; by default the domains' shares to the
     power 0.7, made to sum to one. whole: upward mixing (rates are at least 1, so every document stays). copies is the
     rate rounded up or down by a hash of the id, so that its expectation is the rate.
 
     Defined cases: a null text is empty: no tokens, posterior equal to the prior; without labelled rows there is one
-    domain `all` and every rate is 1; repeated rows get the same rate; a null doc_id rounds as any other id. Targets that
+    domain `all` and every rate is 1; repeated rows get the same rate; a null doc_id rounds as any other id. Other columns are read only to carry them. Targets that
     no nonnegative rates meet are met as nearly as the steps come. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
     domains, prior, table = fit_classifier(labelled)
     k = len(domains)
-    d = docs.select(*keep, *[c for c in ("doc_id", "text") if c not in keep])
+    d = docs.select(*[F.struct("*").alias("row")] * carry, F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = with_posteriors(d, prior, table)
     stored = stage(members.select("doc_id", "n_tokens", *[f"p_{i}" for i in range(k)]), "members")
     got = stored.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{i}")).alias(f"t{i}") for i in range(k)]).first()
@@ -152,12 +151,13 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | None =
     share = share / share.sum() if share.sum() else np.full(k, 1.0 / k)
     least = 1.0 if whole else 0.0
     steps, _ = fit_rates(stored, target_totals(share, totals, whole), least)
-    source = stored if keep == ["doc_id"] else members
+    source = members if carry else stored
     unit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     best = F.array_max(F.array(*[F.struct(F.col(f"p_{i}").alias("p"), F.lit(-i).alias("i")) for i in range(k)]))["i"]
     out = source.withColumn("rate", rate_column(steps, least))
     return out.select(
-        *keep,
+        *["row"] * carry,
+        "doc_id",
         "n_tokens",
         F.element_at(F.lit(domains), 1 - best).alias("domain"),
         F.array(*[F.col(f"p_{i}") for i in range(k)]).alias("posterior"),
