@@ -42,7 +42,7 @@ _TITLE = "|".join(sorted((t for x in _TITLES.values() for t in x), key=len, reve
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zà-öø-ÿа-яё]+)?"
 PATTERN = re.compile(
     rf"(?P<email>[\w.+%-]+@(?:[\w-]+\.)+[A-Za-z]{{2,}})"
-    rf"|(?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<value>[\w+/=.-]{{6,}})[\"']?|\b(?:{_KEYS})|\b[0-9a-fA-F]{{32,64}}\b)"
+    rf"|(?P<secret>\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?(?P<value>[\w+/=.-]{{6,}})[\"']?|\b(?:{_KEYS})|\b(?=[a-fA-F]*\d)[0-9a-fA-F]{{32,64}}\b)"
     r"|(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.]*\d))"
     r"|(?P<mac>\b(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}\b)"
     r"|(?P<ssn>(?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"
@@ -53,15 +53,15 @@ PATTERN = re.compile(
 )
 _DIGIT = re.compile(r"\d")
 _SIGNS = tuple(t for x in _TITLES.values() for t in x)
-_WORDS = ("token", "secret", "passw", "api", "access", "akia", "eyj", "xox", "gh", "sk-", "sk_", "pk-", "pk_", "rk-", "rk_")
+_TITLED = re.compile(rf"\b(?:{_TITLE})\.?\s")
+_WORDS = ("token", "secret", "passw", *(f"{w}{s}key" for w in ("api", "access") for s in ("", "_", "-")), "AKIA", "eyJ", *(f"xox{c}-" for c in "abprs"), *(f"gh{c}_" for c in "pousr"), *(f"{w}k{s}" for w in "spr" for s in "-_"))
 
 
 def _may_hold(text: str) -> bool:
     """False only for texts that hold no entity; plain substring searches, far cheaper than the pattern."""
-    if "@" in text or _DIGIT.search(text) or any(t in text for t in _SIGNS):
+    if "@" in text or _DIGIT.search(text) or any(w in text for w in _WORDS):
         return True
-    low = text.lower()
-    return any(w in low for w in _WORDS)
+    return any(t in text for t in _SIGNS) and _TITLED.search(text) is not None
 
 
 # ---------------------------------------------------------------------------------------------------------------------
