@@ -114,8 +114,12 @@ def test_substrings_brute_force(spark):
         a = rng.randrange(0, 120)
         docs[i] += passage[a : a + rng.randrange(90, 140)] + "é" + docs[(i + 1) % 30][:120]
     docs[40], docs[41], docs[42] = "a" * 400, "ab" * 200, passage * 2
-    got = substrings.remove_repeats(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _removed({i: t.encode() for i, t in docs.items()})
+    want = _removed({i: t.encode() for i, t in docs.items()})
+    rows = spark.createDataFrame([*docs.items(), (42, docs[42]), (3, docs[3])], "doc_id long, text string")
+    for crowded in (substrings.CROWDED, 1):  # with 1, strings are taken apart under every anchor
+        got = substrings.remove_repeats(rows, crowded=crowded).collect()
+        assert len(got) == len(docs) + 2
+        assert all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
 def test_deep_shallow_orders_like_a_plain_sort():

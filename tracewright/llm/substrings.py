@@ -26,6 +26,8 @@ _WINDOW = LENGTH - GRAM + 1
 #: Strings handled at once, and anchors gathered before repeats among them are settled on the spot.
 _BLOCK = 1 << 16
 _GATHER = 1 << 20
+#: Partly equal segments of one anchor beyond which its strings are dealt out one by one.
+CROWDED = 20_000
 SHALLOW = 64
 #: Odd multipliers of the gram hash, one a level, and of its finaliser.
 _MULT = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -85,32 +87,48 @@ def _rows(kind, h, seg, doc, th, a, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=["h", "seg", "doc", "th", "place"])
 
 
+def _settled(h, seg, doc, th, a, n) -> Iterator[pa.RecordBatch]:
+    """Rows with kind 1 for the first of each (h, seg) among them, and kind 0, surely repeated, for the others."""
+    order = np.lexsort((a, th, doc, seg, h))
+    h, seg, doc, th, a, n = (x[order] for x in (h, seg, doc, th, a, n))
+    new = np.r_[True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])]
+    # a copy needs no meeting any more: it is dealt out by its own place
+    h = np.where(new, h, (doc * 1_000_003 + a).view(np.uint64) * _MULT[1])
+    for k in range(0, len(h), 100_000):
+        yield _rows(*(x[k : k + 100_000] for x in (new, h, seg, doc, th, a, n)))
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments of the documents; kind 1: the first of its content among some, kind 0: a later copy, surely repeated."""
     held: list[tuple] = []
     size = 0
-
-    def settle() -> Iterator[pa.RecordBatch]:
-        h, seg, doc, th, a, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        order = np.lexsort((a, th, doc, seg, h))
-        h, seg, doc, th, a, n = (x[order] for x in (h, seg, doc, th, a, n))
-        new = np.r_[True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])]
-        # a copy needs no meeting any more: it is dealt out by its own place
-        h = np.where(new, h, (doc * 1_000_003 + a).view(np.uint64) * _MULT[1])
-        for k in range(0, len(h), 100_000):
-            yield _rows(*(x[k : k + 100_000] for x in (new, h, seg, doc, th, a, n)))
-
     for b in batches:
         for doc, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             for h, seg, a, n in _segments(text.as_buffer().to_pybytes() if text.is_valid else b""):
                 held.append((h, seg, np.full(len(h), doc, np.int64), np.full(len(h), th, np.int64), a, n))
                 size += len(h)
                 if size >= _GATHER:
-                    yield from settle()
-                    size = 0
+                    yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    held, size = [], 0
     if held:
-        yield from settle()
+        yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments (h, doc, th, a, n, bytes) taken apart: one row a string, met by two hashes of its own, as segments are."""
+    held: list[tuple] = []
+    size = 0
+    digest = xxhash.xxh3_128_intdigest
+    for b in batches:
+        for doc, th, a, n, raw in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            both = np.array([divmod(digest(raw[k : k + LENGTH]), 1 << 64) for k in range(n)], np.uint64)
+            held.append((both[:, 0], both[:, 1], np.full(n, doc, np.int64), np.full(n, th, np.int64), np.arange(a, a + n), np.ones(n, np.int64)))
+            size += n
+            if size >= _GATHER:
+                yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+    if held:
+        yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,29 +367,45 @@ def _placed(met: DataFrame, kind: int) -> DataFrame:
     return met.where(F.col("place").bitwiseAND(F.lit(1)) == kind).select("h", "doc", "th", a, n)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of one anchor side by side, those that are surely repeated first, then by content and place."""
+    kind = F.col("place").bitwiseAND(F.lit(1))
+    return rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions(kind, "h", "seg", "doc", "th", "place")
+
+
 def _all_met(d: DataFrame) -> DataFrame:
     """Repeated segments, and those whose strings have to be compared."""
     long_ = d.where(F.octet_length("text") >= LENGTH).select("doc", "th", "text")
-    rows = long_.mapInArrow(_scan, _SEG).repartition(partitions(d.sparkSession), "h")
-    kind = F.col("place").bitwiseAND(F.lit(1))
-    return stage(rows.sortWithinPartitions(kind, "h", "seg", "doc", "th", "place").mapInArrow(_meet, _SEG), "met")
+    return stage(_dealt(long_.mapInArrow(_scan, _SEG)).mapInArrow(_meet, _SEG), "met")
 
 
-def _all_resolved(d: DataFrame, met: DataFrame) -> DataFrame:
+def _all_resolved(d: DataFrame, met: DataFrame, crowded: int) -> DataFrame:
     """Runs of repeated strings in the segments that are equal to others in part."""
-    spans = _placed(met, 1).groupBy("doc", "th").agg(F.collect_list(F.struct("h", "a", "n")).alias("spans"))
-    partly = d.select("doc", "th", "text").join(spans, ["doc", "th"]).mapInArrow(_cut_out, "h long, doc long, th long, a int, n int, bytes binary")
-    rows = partly.distinct() if _repeated(d) else partly
-    rows = rows.repartition(partitions(d.sparkSession), "h").sortWithinPartitions("h")
-    return stage(rows.mapInArrow(_resolve, "doc long, th long, a int, n int"), "found")
+    open_ = _placed(met, 1)
+    many = stage(open_.groupBy("h").count().where(F.col("count") > crowded).select("h", F.lit(True).alias("many")), "crowded")
+    none = many.isEmpty()
+    open_ = open_.withColumn("many", F.lit(False)) if none else open_.join(many, "h", "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    spans = open_.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "a", "n", "many")).alias("spans"))
+    cut = "h long, doc long, th long, a int, n int, bytes binary"
+
+    def pieces(of_crowded: bool) -> DataFrame:
+        picked = spans if none else spans.withColumn("spans", F.filter("spans", lambda s: s["many"] == of_crowded)).where(F.size("spans") > 0)
+        return d.select("doc", "th", "text").join(picked, ["doc", "th"]).mapInArrow(_cut_out, cut)
+
+    rows = pieces(False).repartition(partitions(d.sparkSession), "h").sortWithinPartitions("h")
+    found = stage(rows.mapInArrow(_resolve, "doc long, th long, a int, n int"), "found")
+    if none:
+        return found
+    apart = stage(_dealt(pieces(True).mapInArrow(_strings, _SEG)).mapInArrow(_meet, _SEG), "apart")
+    return found.unionAll(_placed(apart, 0).select("doc", "th", "a", "n"))
 
 
 def _repeated(d: DataFrame) -> bool:
-    """Whether whole rows repeat; their segments then count once."""
+    """Whether whole rows repeat; they are one document."""
     return not d.groupBy("doc", "th").count().where("count > 1").isEmpty()
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROWDED) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept], one row per row.
 
     Removed: every byte that a 100-byte string covers which also starts earlier (in a smaller doc_id, or earlier in the
@@ -381,7 +415,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Scale: about one row in 30 bytes is shuffled (anchor and content hashes, place), copies within a task are settled
     there, so a passage that a third of all documents share costs a few rows a task. Two 64-bit hashes, of the anchor
-    and of the segment, decide equality of whole segments; partly equal ones are compared byte by byte.
+    and of the segment, decide equality of whole segments; partly equal ones are sorted and compared byte by byte. An
+    anchor with more than `crowded` partly equal segments would not fit one task: its strings are taken apart, one row
+    each, and meet by 128 bits of hash over all tasks instead.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
@@ -389,9 +425,12 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     d = d.select("doc_id", key.alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), "text")
     if d.select("doc", "th").groupBy("doc").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo <> hi").isEmpty():
         d = d.withColumn("th", F.lit(0).cast("long"))  # each id has one text: nothing more tells documents apart
-    met = _all_met(d)
+    once = d.select("doc", "th", "text")
+    if _repeated(d):
+        once = once.groupBy("doc", "th").agg(F.first("text").alias("text"))
+    met = _all_met(once)
     release(spark)
-    found = _all_resolved(d, met)
+    found = _all_resolved(once, met, crowded)
     release(spark)
     both = _placed(met, 0).select("doc", "th", "a", "n").unionAll(found)
     gone = both.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "n")).alias("spans"))
