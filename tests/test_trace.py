@@ -152,8 +152,28 @@ def test_entry_and_a_few_queries_match_duckdb(spark):
     for t in ("events", "orders", "lineitem", "nation", "region", "customer"):
         con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     q, sql = entry.queries(), entry.oracle_sql()
-    for name in ("automaton_steps", "link_two_rules_consumed", "refresh_version", "connected_components", "projection_by_key"):
+    for name in ("automaton_steps", "link_two_rules_consumed", "refresh_version", "connected_components", "projection_by_key", "profiling_bands", "workflow_bands", "thread_index", "zero_base"):
         df = q[name](spark, "/root/testdata/sf0.001")
         r = con.execute(sql[name])
         cols = [c[0] for c in r.description]
         assert sorted(map(repr, (tuple(x[c] for c in cols) for x in df.collect()))) == sorted(map(repr, r.fetchall())), name
+
+
+def test_segmentation_of_a_stream_keeps_its_state_between_batches(spark, tmp_path):
+    from tracewright.streaming.segment import segment_stream
+
+    a = _master().compile()
+    lines = [("t", i, "c", k) for i, k in enumerate(["noise", "open", "work", "close", "open", "work", "noise"])] + [("u", 0, "c", "open"), ("u", 1, "c", "close")]
+    schema = "thread string, lino long, component string, keyword string"
+    query = None
+    for upto, rows in ((0, [x for x in lines if x[1] < 2]), (1, [x for x in lines if x[1] >= 2])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = segment_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), a)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        assert query.awaitTermination(120)
+    got = {}
+    for r in spark.read.parquet(str(tmp_path / "out")).orderBy("thread", "lino").collect():
+        got.setdefault(r.thread, []).append((r.status, r.ti))
+    whole = run_thread(a, ["c"] * 7, [x[3] for x in lines[:7]])
+    assert got["t"] == [(r[0], r[1]) for r in whole]
+    assert got["u"] == [("start", 0), ("dangling", None)]

@@ -86,5 +86,4 @@ def corrected(time: Column, offset: Column) -> Column:
 
 def zero_base(times: DataFrame, start: Column) -> DataFrame:
     """All times from the earliest start on."""
-    first = times.agg(F.min(start).alias("_zero"))
-    return times.join(F.broadcast(first)).withColumn("us", F.col("us") - F.col("_zero")).drop("_zero")
+    return times.withColumn("us", F.col("us") - times.agg(F.min(start)).scalar())

@@ -94,3 +94,32 @@ def top_by_median(df: DataFrame, by: str, value: str, k: int) -> DataFrame:
 def extreme(df: DataFrame, value: str, tie: str, largest: bool = True) -> DataFrame:
     """The row of the largest or smallest value; of equal ones the least `tie`."""
     return df.orderBy(F.desc(value) if largest else F.asc(value), tie).limit(1)
+
+
+def padding(df: DataFrame, by: str, owner: str, tie: str, lo: str = "from_us", hi: str = "to_us") -> DataFrame:
+    """Occupied and blank bands by `by` and layer: (band, by, layer, from, to).
+
+    Layer n holds each owner's n-th interval. The blanks before a layer lead from the ends of the layer below (from 0
+    before the first) to its starts, both in order of time; an end without a start leads to the last end of all.
+    """
+    nth = Window.partitionBy(owner, by).orderBy(lo, tie)
+    x = df.select(by, lo, hi, (F.row_number().over(nth) - 1).alias("layer"))
+    starts = x.select(by, "layer", F.col(lo).alias("_to"), F.row_number().over(Window.partitionBy(by, "layer").orderBy(lo)).alias("_rank"))
+    ends = x.select(by, (F.col("layer") + 1).alias("layer"), F.col(hi).alias("_from"), F.row_number().over(Window.partitionBy(by, "layer").orderBy(hi)).alias("_rank"))
+    ends = ends.join(starts.select(by, "layer").distinct(), [by, "layer"], "left_semi")
+    between = ends.join(starts, [by, "layer", "_rank"], "left").select(by, "layer", "_from", F.coalesce("_to", df.agg(F.max(hi)).scalar()).alias("_to"))
+    first = starts.where("layer = 0").select(by, "layer", F.lit(0).cast("long").alias("_from"), "_to")
+    blank = first.unionAll(between).select(F.lit("blank").alias("band"), by, "layer", F.col("_from").alias(lo), F.col("_to").alias(hi))
+    return x.select(F.lit("occupied").alias("band"), by, "layer", lo, hi).unionAll(blank)
+
+
+def dense_index(df: DataFrame, first: str, rest: list[str], name: str = "y") -> DataFrame:
+    """The distinct (first, *rest), numbered from 1 in their order.
+
+    Each value of `first` is numbered for itself and moved on by the sizes of those before it, so that no task sorts all.
+    """
+    x = df.select(first, *rest).distinct()
+    inside = F.row_number().over(Window.partitionBy(first).orderBy(*rest))
+    sizes = x.groupBy(first).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return x.withColumn("_in", inside).join(sizes.select(first, before.alias("_before")), first).select(first, *rest, (F.col("_before") + F.col("_in")).alias(name))

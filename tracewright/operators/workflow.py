@@ -5,12 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators import stats
+
 
 def trie(intervals: DataFrame, request: str, order: str, label: str = "to_edge", value: str = "lapse") -> DataFrame:
     """Intervals grouped by the sequence of labels that leads to them: (prefix, depth, n, total)."""
+    return prefixed(intervals, request, order, label).groupBy("prefix").agg(F.count("*").alias("n"), F.sum(value).alias("total")).withColumn("depth", F.size(F.split("prefix", ">")))
+
+
+def prefixed(intervals: DataFrame, request: str, order: str, label: str = "to_edge") -> DataFrame:
+    """Intervals with the labels that lead to them as `prefix`."""
     w = Window.partitionBy(request).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = intervals.withColumn("prefix", F.concat_ws(">", F.collect_list(label).over(w)))
-    return x.groupBy("prefix").agg(F.count("*").alias("n"), F.sum(value).alias("total")).withColumn("depth", F.size(F.split("prefix", ">")))
+    return intervals.withColumn("prefix", F.concat_ws(">", F.collect_list(label).over(w)))
+
+
+def bands(intervals: DataFrame, request: str, order: str, lo: str = "from_us", hi: str = "to_us") -> DataFrame:
+    """Step functions (depth, prefix, x, level) of each group of the trie, after a blank one that leads to the first groups."""
+    x = prefixed(intervals, request, order).withColumn("depth", F.size(F.split("prefix", ">")))
+    blank = x.where("depth = 1").select(F.lit(0).alias("depth"), F.lit("").alias("prefix"), F.lit(0).cast("long").alias(lo), F.col(lo).alias(hi))
+    return stats.steps(x.select("depth", "prefix", lo, hi).unionAll(blank), ["depth", "prefix"], lo, hi)
 
 
 def fold(groups: list[tuple[str, str | None, str, int]]) -> dict[str, str]:

@@ -650,6 +650,18 @@ def filter_byiname(spark, sf_dir):
     return Intervals(_intervals(spark, sf_dir)).by_iname("n2").frame.select("pace_id", "lapse")
 
 
+@query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM (SELECT *, row_number() OVER (PARTITION BY thread, path ORDER BY us) AS nth FROM ints) WHERE nth = 2")
+def filter_byorder(spark, sf_dir):
+    x = requests.occurrence(_intervals(spark, sf_dir), ["thread", "path"], ["us"])
+    return Intervals(x).by_order(2).frame.select("pace_id", "lapse")
+
+
+@query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM ints JOIN insts USING (ti_id) WHERE is_complete")
+def mains(spark, sf_dir):
+    main = _bought(spark, sf_dir).where("ok").select(F.col("from_id").alias("pace_id"), F.lit(True).alias("is_main"))
+    return Intervals(_intervals(spark, sf_dir).join(main, "pace_id", "left")).mains.frame.select("pace_id", "lapse")
+
+
 @query(f"WITH RECURSIVE {WALK} SELECT DISTINCT path FROM ints")
 def distinct_lists(spark, sf_dir):
     return Intervals(_intervals(spark, sf_dir)).paths()
@@ -675,6 +687,37 @@ def req_most_complex(spark, sf_dir):
     return _requests(spark, sf_dir).most_complex().select("request", "len_paces")
 
 
+@query(f"WITH RECURSIVE {WALK} SELECT ti_id AS request, n_paces AS len_paces FROM insts WHERE is_complete ORDER BY n_paces, request LIMIT 1")
+def req_simplest(spark, sf_dir):
+    return _requests(spark, sf_dir).simplest().select("request", "len_paces")
+
+
+@query(f"WITH {LINES} SELECT host, component, target, thread, row_number() OVER (ORDER BY host, component, target, thread) AS y FROM (SELECT DISTINCT host, 'app' AS component, target, thread FROM lines)")
+def thread_index(spark, sf_dir):
+    return stats.dense_index(trace(spark, sf_dir), "host", ["component", "target", "thread"])
+
+
+@query(
+    f"""WITH RECURSIVE {WALK}, o AS (SELECT path, us AS from_us, to_us, CAST(row_number() OVER (PARTITION BY thread, path ORDER BY us, pace_id) - 1 AS INTEGER) AS layer FROM ints),
+ r AS (SELECT *, row_number() OVER (PARTITION BY path, layer ORDER BY from_us) AS rf, row_number() OVER (PARTITION BY path, layer ORDER BY to_us) AS rt, max(layer) OVER (PARTITION BY path) AS top FROM o)
+ SELECT 'occupied' AS band, path, layer, from_us, to_us FROM o
+ UNION ALL SELECT 'blank', path, 0, 0, from_us FROM o WHERE layer = 0
+ UNION ALL SELECT 'blank', p.path, CAST(p.layer + 1 AS INTEGER), p.to_us, coalesce(c.from_us, (SELECT max(to_us) FROM o)) FROM r p LEFT JOIN r c ON c.path = p.path AND c.layer = p.layer + 1 AND c.rf = p.rt WHERE p.layer < p.top"""
+)
+def profiling_bands(spark, sf_dir):
+    return stats.padding(_intervals(spark, sf_dir), "path", "thread", "pace_id")
+
+
+@query(
+    f"""WITH RECURSIVE {WALK}, p AS (SELECT *, string_agg(to_edge, '>') OVER (PARTITION BY ti_id ORDER BY seq) AS prefix FROM ints),
+ iv AS (SELECT CAST(len(string_split(prefix, '>')) AS INTEGER) AS depth, prefix, us AS from_us, to_us FROM p UNION ALL SELECT 0, '', 0, us FROM p WHERE seq = 0),
+ d AS (SELECT depth, prefix, x, sum(d) AS d FROM (SELECT depth, prefix, from_us AS x, 1 AS d FROM iv UNION ALL SELECT depth, prefix, to_us, -1 FROM iv) GROUP BY depth, prefix, x HAVING sum(d) <> 0)
+ SELECT depth, prefix, x, CAST(sum(d) OVER (PARTITION BY depth, prefix ORDER BY x) AS BIGINT) AS level FROM d"""
+)
+def workflow_bands(spark, sf_dir):
+    return workflow.bands(_intervals(spark, sf_dir), "ti_id", "seq")
+
+
 @query(f"WITH RECURSIVE {WALK} SELECT ti_id, CAST(dense_rank() OVER (PARTITION BY host ORDER BY thread) AS INTEGER) AS y, from_us, to_us FROM insts")
 def gantt_rows(spark, sf_dir):
     inst = paces(spark, sf_dir).groupBy("ti_id", "host", "thread").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"))
