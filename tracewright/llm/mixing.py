@@ -9,9 +9,10 @@ own posterior and the steps so far, so no rate ever has to be stored or sent.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.sampling import least_hashed
 from tracewright.session import stage
 
 #: Buckets of word hashes; labelled rows of each domain that the classifier is fitted on; the most domains there can be.
@@ -41,9 +42,8 @@ def fit_classifier(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list[s
     if not shares:
         return ["all"], np.zeros(1), np.zeros((1, BUCKETS))
     domains = sorted(shares)
-    w = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.where(F.col("domain").isin(domains)).select("doc_id", "domain").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= rows)
-    some = known.join(F.broadcast(ids.select("doc_id", "domain").distinct()), ["doc_id", "domain"])
+    ids = least_hashed(known.where(F.col("domain").isin(domains)), "domain", rows, shares)
+    some = known.join(F.broadcast(ids), ["doc_id", "domain"])
     counts = some.select("domain", F.explode(_buckets(F.col("text"))).alias("bucket")).groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
     table = np.full((len(domains), BUCKETS), 0.5)
     for r in counts:
