@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.sampling import least_hashed
+
 #: Rows of each language that the model is fitted on, and the longest text among them (characters).
 SAMPLE_ROWS = 1000
 SAMPLE_CHARS = 50_000
@@ -139,12 +141,12 @@ def held_out(doc_id: str = "doc_id"):
 def training_rows(docs: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple]:
     """(label, text) of at most `rows` rows a label, by least hash of the id; never a held-out row.
 
-    The bound is a parameter of the fit alone. Ids are chosen first, with a group limit on the map side, so a label that
-    holds most rows is not gathered; texts of the chosen ids alone come to the driver.
+    The bound is a parameter of the fit alone. Rows are counted first and ids chosen below a hash that the counts give,
+    so a label that holds most rows is not gathered; texts of the chosen ids alone come to the driver.
     """
     known = docs.where(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    w = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", label).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= rows).select("doc_id").distinct()
+    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
+    ids = least_hashed(known, label, rows, counts).select("doc_id").distinct()
     got = known.join(F.broadcast(ids), "doc_id", "left_semi").select(label, "text")
     return [tuple(r) for r in got.collect()]
 
