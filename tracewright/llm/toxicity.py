@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.language import held_out, training_rows
+from tracewright.llm.sampling import least_hashed
 
 #: Rows of each label that the model is fitted on (parameter of the fit alone).
 SAMPLE_ROWS = 1500
@@ -267,17 +268,13 @@ def score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    lexicon, weights = learn(training_rows(Labelled(d, marks).frame, "toxic", sample_rows))
+    lexicon, weights = learn(training_rows(labelled(d, marks), "toxic", sample_rows))
     shared = spark.sparkContext.broadcast(((lexicon.words, lexicon.stems, lexicon.fuzzy, sorted(lexicon.ordinary)), weights))
     return d.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_runner(shared), "doc_id long, held_out boolean, score double, predicted int")
 
 
-class Labelled:
-    """Documents with their label, for the fit: a few ids are chosen before any text moves."""
-
-    def __init__(self, docs: DataFrame, marks: DataFrame, rows: int = 4 * SAMPLE_ROWS):
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-        some = marks.where(~held_out()).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= rows).select("doc_id", "toxic")
-        self.frame = docs.join(F.broadcast(some), "doc_id")
+def labelled(docs: DataFrame, marks: DataFrame, rows: int = 4 * SAMPLE_ROWS) -> DataFrame:
+    """Documents with their label, for the fit: a few ids are chosen before any text moves, below a hash that the counts give."""
+    open_ = marks.where(~held_out())
+    counts = {r["toxic"]: r["count"] for r in open_.groupBy("toxic").count().collect()}
+    return docs.join(F.broadcast(least_hashed(open_, "toxic", rows, counts)), "doc_id")
