@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from tracewright.llm import bpe, exact_dedup, mixing, near, toxicity
 from tracewright.llm.queries import vocabulary
 from tracewright.session import ship, stage
 
@@ -26,9 +26,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked within three fingerprint bits the smallest doc_id stays."""
+    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the smallest doc_id stays."""
     ship(spark)
-    gone = simhash.simhash_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = near.near_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -247,3 +247,29 @@ def test_pipeline_drops_and_keeps(spark, edges):
     assert {r.doc_id for r in near.collect()} == {1, 3, 5, 6, None}
     mixed = c.mix_domains(spark, edges, "")
     assert mixed.columns == edges.columns and {r.doc_id for r in mixed.collect()} == {r[0] for r in EDGES}
+
+
+def test_near_copies_of_the_pipeline_are_all_pairs_of_similarity(spark):
+    import corpus_pipeline as c
+    from tracewright.llm import near
+
+    rng = random.Random(11)
+    base = [[f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(8)]
+    rows = []
+    for i in range(160):
+        words = list(base[i % 8])
+        for _ in range(rng.randrange(6)):
+            words[rng.randrange(len(words))] = f"z{rng.randrange(500)}"
+        rows.append((i, " ".join(words)))
+    rows += [(200, ""), (201, None), (202, "Hi you"), (203, "hi you"), (204, "hi")]
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows for w in [(t or "").lower().split()]}
+    root = {i: i for i in grams}
+    for a in grams:
+        for b in grams:
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for centres in (near.CENTRES, 10):  # with 10, buckets take several rounds
+        assert {r.doc_id: r.component_id for r in near.near_components(df, centres=centres).collect()} == root
+    assert {r.doc_id for r in c.drop_near_copies(spark, df, "").collect()} == set(root.values())
