@@ -273,3 +273,12 @@ def test_near_copies_of_the_pipeline_are_all_pairs_of_similarity(spark):
     for centres in (near.CENTRES, 10):  # with 10, buckets take several rounds
         assert {r.doc_id: r.component_id for r in near.near_components(df, centres=centres).collect()} == root
     assert {r.doc_id for r in c.drop_near_copies(spark, df, "").collect()} == set(root.values())
+
+
+def test_pii_replacements_are_distinct_beyond_the_pool(spark):
+    names = [f"X{a}{b}{c}" for a in "abcdefgh" for b in "aeiouyrs" for c in "klmnprst"][:500]
+    df = spark.createDataFrame([(i, f"said Mr {n} and password = 密码密码密码") for i, n in enumerate(names)], "doc_id long, text string")
+    got = [r.text.split("Mr ")[1].split(" and")[0] for r in pii.surrogates(df, "k").collect()]
+    assert len(set(got)) == len(names) and not set(got) & set(names)
+    with pytest.raises(RuntimeError):
+        pii.moved_entities(df, b"k" * 32, rounds=1)

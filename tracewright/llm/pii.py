@@ -142,13 +142,14 @@ def replace(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "person":  # gender|name
         gender, _, name = entity.partition("|")
         script = "cyrillic" if re.search("[А-Яа-яЁё]", name) else "latin"
-        d = int.from_bytes(hashlib.blake2b(name.encode(), key=key, digest_size=16).digest(), "big") + attempt
+        told = f"{attempt}|{name}" if attempt else name
+        d = int.from_bytes(hashlib.blake2b(told.encode(), key=key, digest_size=64 if attempt else 16).digest(), "big")
         given = GIVEN[script, gender] if gender in "mf" else [*GIVEN[script, "m"], *GIVEN[script, "f"]]
         family = FAMILY[script]
         parts = len(name.split())
         d, f = divmod(d, len(family))
         last = family[f]
-        for _ in range(attempt // len(family)):  # a pool that is used up goes on with double names
+        for _ in range(attempt):  # each collision adds a family name, so the pool grows by its own size every time
             d, f = divmod(d, len(family))
             last += "-" + family[f]
         if parts == 1:
@@ -238,27 +239,34 @@ def _replaced(key: bytes):
         for b in batches:
             kinds, found, attempts = (b.column(i).to_pylist() for i in range(3))
             out = [replace(key, k, e, a) for k, e, a in zip(kinds, found, attempts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=["kind", "entity", "attempt", "new"])
+            fixed = [k != "person" and all(len(_alphabet(c, False)) == 1 for c in e) for k, e in zip(kinds, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string()), pa.array(fixed, pa.bool_())], names=["kind", "entity", "attempt", "new", "fixed"])
 
     return run
 
 
-def moved_entities(docs: DataFrame, key: bytes, rounds: int = 40) -> DataFrame:
-    """(kind, entity, attempt) for the entities of the corpus whose first replacement collides."""
+def moved_entities(docs: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
+    """(kind, entity, attempt) for the entities of the corpus whose first replacement collides; raises if a format has no room.
+
+    Entities without any character that has an alphabet here stay as they are and are not judged.
+    """
     found = stage(docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, entity string").distinct(), "entities")
     bare = F.when(F.col("kind") == "person", F.substring_index("entity", "|", -1)).otherwise(F.col("entity"))
     taken = found.select("kind", bare.alias("new")).distinct()
     state = found.withColumn("attempt", F.lit(0))
     for _ in range(rounds):
-        new = stage(state.mapInArrow(_replaced(key), "kind string, entity string, attempt int, new string"), "replaced")
+        new = stage(state.mapInArrow(_replaced(key), "kind string, entity string, attempt int, new string, fixed boolean"), "replaced")
         # the earliest attempt keeps a contested replacement, of those the least entity; none may name a real entity
         owner = new.groupBy("kind", "new").agg(F.min(F.struct("attempt", "entity")).alias("owner"))
         judged = new.join(owner, ["kind", "new"]).join(taken.withColumn("real", F.lit(True)), ["kind", "new"], "left")
-        clash = (F.col("owner") != F.struct("attempt", "entity")) | F.coalesce("real", F.lit(False))
+        clash = ~F.col("fixed") & ((F.col("owner") != F.struct("attempt", "entity")) | F.coalesce("real", F.lit(False)))
         judged = stage(judged.select("kind", "entity", F.when(clash, F.col("attempt") + 1).otherwise(F.col("attempt")).cast("int").alias("attempt"), clash.alias("clash")), "judged")
         state = judged.select("kind", "entity", "attempt")
         if judged.where("clash").isEmpty():
             break
+    else:
+        kinds = [r["kind"] for r in judged.where("clash").select("kind").distinct().orderBy("kind").collect()]
+        raise RuntimeError(f"replacements still collide after {rounds} rounds: {', '.join(kinds)}")
     return state.where("attempt > 0")
 
 
