@@ -1,10 +1,12 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by the exact Jaccard similarity of word shingles, found by covering SimHash and completed by prefixes.
 
-Two sets of similarity t or more share at least t of either set, so whatever the order of all shingles, the first
-n - ceil(t n) + 1 shingles of each have one in common (prefix filtering). Documents meet in the buckets of those
-shingles, pairs that their sizes or positions rule out are left out, and the rest are verified on the whole sets: every
-pair of similarity t is found, with certainty, and no other. SimHash gives no such bound: a review
-found pairs of similarity 0.8 at 2 to 11 of op7's 64 bits in sf0.1, and covering 11 bits takes 4,095 tables.
+First the method of op7: fingerprints of the same shingles meet in the tables of the covering masks, so all pairs within
+three bits are proposed, and those of similarity t or more are linked. That settles most of a crowd of near copies
+cheaply, but not all: pairs of similarity 0.8 differ in ten bits of 64 on average, and covering so many takes thousands
+of tables. So the rest is found by prefix filtering. Two sets of similarity t or more share at least t of either set, so
+whatever the order of all shingles, the first n - ceil(t n) + 1 shingles of each have one in common. Documents meet in
+the buckets of those shingles, pairs that are linked by now or that their sizes or positions rule out are left out, and
+the others are verified on the whole sets: every pair of similarity t is linked, with certainty, and no other.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm import simhash
 from tracewright.operators.components import contract
 from tracewright.session import partitions, stage
 
 WIDTH, LEAST = 5, 0.8
-#: Members of a bucket that meet all others in one round; those outside its largest group come first
-#: (eight times as many from the second round on).
-CENTRES = 64
+#: Members of a bucket that meet all others in the first round, those outside its largest group before the others; each
+#: further round has eight times as many.
+CENTRES = 16
 #: Cells in which shingles are counted, and the fullest ones that are told apart: they only order the shingles.
 CELLS, FULLEST = 1 << 20, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -32,7 +35,7 @@ _PAIR = "a long, b long"
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """The set of 64-bit hashes of word shingles, sorted; shorter texts are one shingle, texts without words share one."""
+    """64-bit hashes of the word shingles, repeats included; shorter texts are one shingle, texts without words share one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(w) for w in words], np.uint64)
@@ -41,17 +44,35 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     for k in range(min(width, len(h))):
         out = (out ^ (out >> np.uint64(29))) * _ODD + h[k : k + n]
     out = (out ^ (out >> np.uint64(32))) * _ODD
-    return np.unique(out ^ (out >> np.uint64(29)))
+    return out ^ (out >> np.uint64(29))
+
+
+def _node(s: np.ndarray) -> int:
+    """Signed 64-bit hash of a sorted set."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py(), width) for t in b.column(1)]
-            node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            all_ = [shingles(t.as_py(), width) for t in b.column(1)]
+            fp = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
+            sets = [np.unique(h) for h in all_]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "node", "s"])
+            cols = [b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "fp", "s"])
+
+    return run
+
+
+def _nodes(width: int):
+    """(row, text) to (row, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = [_node(np.unique(shingles(t.as_py(), width))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64())], names=["row", "node"])
 
     return run
 
@@ -99,42 +120,58 @@ def _pairs(centres: int, least: float):
     def pairs(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
 
-    def bucket(key, node, n, pos, root):
+    def may(n, pos, m, q):
+        """Whether sets of these sizes that meet at these places of their prefixes can be alike."""
+        need = np.ceil(least / (1 + least) * (m + n) - 1e-9)
+        return (np.minimum(pos, q) + 1 + np.minimum(n - pos - 1, m - q - 1) >= need) & (np.minimum(m, n) >= least * np.maximum(m, n) - 1e-9)
+
+    def small(node, n, pos, root, row, after):
+        """All pairs of buckets of at most `centres` + 1 members: of rows k places apart, for each k. after: rows of the bucket behind each."""
+        for k in range(1, centres + 1):
+            row = row[after[row] >= k]
+            if not len(row):
+                return
+            to = row + k
+            got = (root[row] != root[to]) & may(n[row], pos[row], n[to], pos[to])
+            if got.any():
+                yield pairs(node[row[got]], node[to[got]])
+
+    def large(key, node, n, pos, root):
         """Members outside the largest group so far meet all others; those who have met all are done with the bucket."""
         if (root == root[0]).all():
             return
-        some = np.arange(len(node) - 1)
-        if len(node) > centres + 1:
-            _, group, count = np.unique(root, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(group != count.argmax())[:centres]
+        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        some = np.flatnonzero(group != count.argmax())[:centres]
         left = np.ones(len(node), bool)
         for i in some:
             left[i] = False
-            m, q = n[left], pos[left]
-            need = np.ceil(least / (1 + least) * (m + n[i]) - 1e-9)
-            may = np.minimum(pos[i], q) + 1 + np.minimum(n[i] - pos[i] - 1, m - q - 1)
-            got = node[left][(may >= need) & (np.minimum(m, n[i]) >= least * np.maximum(m, n[i]) - 1e-9) & (root[left] != root[i])]
+            got = node[left][may(n[i], pos[i], n[left], pos[left]) & (root[left] != root[i])]
             if len(got):
                 yield pairs(np.full(len(got), node[i]), got)
-        if len(some) == centres and (root[left] != root[left][0]).any():
+        if (root[left] != root[left][0]).any():
             none = pa.nulls(int(left.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[left]) for c in (key, node, n, pos))], names=names)
 
+    def found(cols):
+        key, node = cols[:2]
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]  # equal sets come once
+        cols = [c[once] for c in cols]
+        cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        lo, hi = np.r_[0, cut], np.r_[cut, len(cols[0])]
+        size = hi - lo
+        after = np.repeat(hi, size) - np.arange(len(cols[0])) - 1
+        yield from small(*cols[1:], np.flatnonzero(np.repeat(size <= centres + 1, size)), after)
+        for s, e in zip(lo[size > centres + 1].tolist(), hi[size > centres + 1].tolist(), strict=True):
+            yield from large(*(c[s:e] for c in cols))
+
     def emit(cols):
-        key = cols[0]
-        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
-        lo, hi = np.r_[0, cut], np.r_[cut, len(key)]
-        many = hi - lo > 1
         held, rows = [], 0
-        for s, e in zip(lo[many].tolist(), hi[many].tolist(), strict=True):
-            part = [c[s:e] for c in cols]
-            once = np.r_[True, part[1][1:] != part[1][:-1]]  # equal sets come once
-            for r in bucket(*(c[once] for c in part)):
-                held.append(r)
-                rows += r.num_rows
-                if rows > 1 << 16:
-                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                    held, rows = [], 0
+        for r in found(cols):
+            held.append(r)
+            rows += r.num_rows
+            if rows > 1 << 16:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, rows = [], 0
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -156,48 +193,89 @@ def _pairs(centres: int, least: float):
     return run
 
 
-def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, centres: int = CENTRES) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id linked, at any remove), one row per row.
+def _verified(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike."""
+    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = p.select("node", "s").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
+    return stage(both.where(alike).select("a", "b"), "links")
 
-    Linked are texts whose sets of `width`-word shingles (ASCII case aside) have a Jaccard similarity of `least` or
-    more, compared by 64-bit hashes. Defined cases: a null text is empty; texts without words are alike; a text of fewer
-    words is one shingle of them all. A null doc_id is never a component's id unless all its members' ids are null.
-    Other columns are not read. No rows in, none out.
 
-    Scale: a fifth of the shingles (at 0.8) is shuffled. In a bucket `centres` members (then 8 x `centres`) meet all others, so a
-    round makes rows in proportion to the bucket; rounds go on until every bucket is exhausted or its members are linked.
-    """
+def _covered(p: DataFrame) -> DataFrame:
+    """Pairs of different sets whose fingerprints are equal or meet in a covering table within the radius."""
+    of = stage(p.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("last")), "prints")
+    same = p.select("fp", "node").distinct().join(of.where("first <> last"), "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    at = of.select("fp", "first")
+    near = simhash.links(at.select("fp")).where("a <> b")
+    near = near.join(at.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return same.unionAll(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
+def _linked(docs: DataFrame, width: int, least: float, centres: int) -> tuple[DataFrame, DataFrame | None]:
+    """The documents' sets (doc_id, node, fp, s), and (node, root) of the sets that are linked to others, if any."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    p = stage(d.mapInArrow(_sets(width), "doc_id long, node long, s array<long>"), "sets")
+    p = stage(d.mapInArrow(_sets(width), "doc_id long, node long, fp long, s array<long>"), "sets")
+    links = _verified(stage(_covered(p), "pairs"), p, least)
+    roots = None if links.isEmpty() else contract(links)
     cells = p.select("s").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     top = cells.orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
     rows = p.select("node", "s").mapInArrow(_prefixes(shared, least), "key long, node long, n int, pos int")
-    rows = rows.withColumn("root", F.col("node"))
-    links, roots = None, None
     while True:
+        if roots is None:
+            rows = rows.withColumn("root", F.col("node"))
+        else:
+            rows = rows.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        met = stage(dealt.mapInArrow(_pairs(centres if links is None else 8 * centres, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        met = stage(dealt.mapInArrow(_pairs(centres, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
         some = stage(met.where("a is not null").select("a", "b").distinct(), "pairs")
         if not some.isEmpty():
-            ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            sets = p.select("node", "s").join(ends, "node", "left_semi").dropDuplicates(["node"])
-            both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-            both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-            common = F.size(F.array_intersect("sa", "sb"))
-            alike = common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
-            new = stage(both.where(alike).select("a", "b"), "links")
-            links = new if links is None else links.unionAll(new)
-            roots = contract(links)
-        left = met.where("a is null").select("key", "node", "n", "pos")
-        if left.isEmpty():
-            break
-        if roots is None:
-            rows = left.withColumn("root", F.col("node"))
-        else:
-            rows = left.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+            new = _verified(some, p, least)
+            links = links.unionAll(new)
+            if not new.isEmpty():
+                roots = contract(links)
+        rows = met.where("a is null").select("key", "node", "n", "pos")
+        if rows.isEmpty():
+            return p, roots
+        centres *= 8
+
+
+def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, centres: int = CENTRES) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id linked, at any remove), one row per row.
+
+    Linked are texts whose sets of `width`-word shingles (ASCII case aside) have a Jaccard similarity of `least` or
+    more, compared by 64-bit hashes. Defined cases: a null text is empty; texts without words are alike; a text of fewer
+    words is one shingle of them all. A null doc_id is never a component's id unless all its members' ids are null.
+    Other columns are not read. No rows in, none out.
+
+    Scale: a fifth of the shingles (at 0.8) is shuffled. In a bucket `centres` members (eight times as many each round)
+    meet all others, so a round makes rows in proportion to the bucket; rounds go on until every bucket is exhausted or
+    its members are linked.
+    """
+    p, roots = _linked(docs, width, least, centres)
     ids = p.select("doc_id", "node")
     of = ids.withColumn("root", F.col("node")) if roots is None else ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     of = stage(of.select("doc_id", "root"), "classes")
     return of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, centres: int = CENTRES) -> DataFrame:
+    """The rows of `docs`, whole, one of each group of near copies: that of the smallest doc_id, a null one last.
+
+    Groups and defined cases are those of near_components. Of rows that repeat an id the text of least hash stays, so no
+    row stays beside one that is linked to it, whatever their ids. Scale: rows collapse on the map side before the one
+    shuffle that carries texts, so a group may hold a third of them.
+    """
+    _, roots = _linked(docs, width, least, centres)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    rows = rows.mapInArrow(_nodes(width), f"row {kind}, node long")
+    if roots is not None:
+        rows = rows.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("node"))
+    id_ = F.col("row.doc_id").cast("long")
+    first = F.min_by("row", F.struct(id_.isNull(), id_, F.xxhash64("row.text")))
+    return rows.groupBy("node").agg(first.alias("row")).select("row.*")

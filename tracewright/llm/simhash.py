@@ -39,12 +39,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     n = max(1, len(words) - width + 1)
     lo, hi = starts[:n].tolist(), ends[min(width, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(joined[a:b], 42) for a, b in zip(lo, hi, strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
-    for k in range(0, n, _CHUNK):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(lo[k : k + _CHUNK], hi[k : k + _CHUNK], strict=True)], np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(votes * 2 > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+    for k in range(0, len(h), _CHUNK):
+        votes += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,22 +81,23 @@ def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def _star(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star of each connected group of a bucket: fewer links than fingerprints, never all pairs."""
+def _tree(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning tree of each connected group of a bucket, of links within the radius: fewer than fingerprints, never all pairs."""
     left, a, b = np.ones(len(fp), bool), [], []
     for i in range(len(fp)):
         if not left[i]:
             continue
         left[i] = False
-        front, root = [i], fp[i]
+        front = [i]
         while front:
             rest = np.flatnonzero(left)
             if not len(rest):
                 break
-            near = np.bitwise_count(fp[rest] ^ fp[front.pop()]) <= radius
+            at = fp[front.pop()]
+            near = np.bitwise_count(fp[rest] ^ at) <= radius
             got = rest[near]
             left[got] = False
-            a.append(np.full(len(got), root, np.uint64))
+            a.append(np.full(len(got), at, np.uint64))
             b.append(fp[got])
             front += got.tolist()
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
@@ -120,7 +124,7 @@ def _bucketed(direct: int | None, radius: int = RADIUS):
                 out_b.append(fp[s:e])
                 out_t.append(t[s:e])
                 continue
-            p, q = _star(fp[s:e], radius)
+            p, q = _tree(fp[s:e], radius)
             out_a.append(p)
             out_b.append(q)
             out_t.append(np.full(len(p), -1, np.int32))
@@ -190,7 +194,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     rows share a component. A null doc_id is never a component's id unless all its members' ids are null. Other columns
     are not read. No rows in, none out.
 
-    Scale: copies collapse to one row per fingerprint before any search; a bucket yields a spanning star, never its
+    Scale: copies collapse to one row per fingerprint before any search; a bucket yields a spanning tree, never its
     pairs; components contract in written rounds; ids find their component by a join that adaptive execution may split.
     """
     p = stage(fingerprints(docs), "prints")
