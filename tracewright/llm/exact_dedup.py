@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.session import release, stage
@@ -107,14 +108,17 @@ def _keys(digests: pd.Series) -> np.ndarray:
 # ---------------------------------------------------------------------------------------------------------------------
 # Spark
 # ---------------------------------------------------------------------------------------------------------------------
+def _digest_columns(norm: pa.Array) -> list[pa.Array]:
+    raw = norm.cast(pa.binary()).to_pylist()
+    sha = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
+    return [sha, pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64), pa.int64())]
+
+
 def _digested(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             norm = pc.ascii_lower(pc.fill_null(b.column(1), ""))
-            raw = norm.cast(pa.binary()).to_pylist()
-            sha = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
-            chk = pa.array(np.array([xxhash.xxh64_intdigest(x, 42) for x in raw], np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), sha, chk, *([norm] if with_text else [])], names=["doc_id", "digest", "chk", "norm"][: 3 + with_text])
+            yield pa.RecordBatch.from_arrays([b.column(0), *_digest_columns(norm), *([norm] if with_text else [])], names=["doc_id", "digest", "chk", "norm"][: 3 + with_text])
 
     return run
 
@@ -125,6 +129,26 @@ def digests(docs: DataFrame, with_text: bool = False) -> DataFrame:
     return d.mapInArrow(_digested(with_text), "doc_id long, digest binary, chk long" + ", norm string" * with_text)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rest, doc_id, text) with the text as its lower-cased form and the bits of its capitals, null for a null text."""
+    for b in batches:
+        text = b.column(2)
+        norm = pc.ascii_lower(pc.fill_null(text, ""))
+        pairs = zip(text.cast(pa.binary()).to_pylist(), norm.cast(pa.binary()).to_pylist(), strict=True)
+        bits = [None if t is None else np.packbits(np.frombuffer(t, np.uint8) != np.frombuffer(n, np.uint8)).tobytes() for t, n in pairs]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *_digest_columns(norm), norm, pa.array(bits, pa.binary())], names=["rest", "doc_id", "digest", "chk", "norm", "capitals"])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rest, norm, capitals) to (rest, text)."""
+    for b in batches:
+        out = []
+        for norm, bits in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            raw = np.frombuffer(norm, np.uint8)
+            out.append(None if bits is None else (raw - 32 * np.unpackbits(np.frombuffer(bits, np.uint8), count=len(raw))).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()).cast(pa.string())], names=["rest", "text"])
+
+
 def build_filters(snapshot: DataFrame) -> DataFrame:
     """One filter a bucket of the snapshot's distinct (bucket, digest)."""
 
@@ -147,10 +171,82 @@ def screen(incoming: DataFrame, filters: DataFrame) -> DataFrame:
     return incoming.select("bucket", "digest").groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, "digest binary")
 
 
-def exact_dedup(docs: DataFrame, is_snapshot=None, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+@dataclass(frozen=True)
+class Snapshot:
+    """What an immutable snapshot keeps for later batches: its distinct texts, dealt to buckets, and a filter a bucket.
+
+    texts: bucket, digest, chk, norm, keep (largest doc_id), n (rows). filters: bucket, seed, length, starts, bits.
+    """
+
+    texts: DataFrame
+    filters: DataFrame
+    buckets: int
+
+    @classmethod
+    def of(cls, texts: DataFrame, bucket_keys: int = BUCKET_KEYS, path: str | None = None) -> Snapshot:
+        """From one row a distinct text; with a path, written there once, to be opened for every batch that comes."""
+        buckets = max(1, -(-texts.count() // bucket_keys))
+        texts = texts.withColumn("bucket", _bucket(buckets))
+        filters = build_filters(texts.select("bucket", "digest").distinct())
+        if path is None:
+            return cls(texts, stage(filters, "filters"), buckets)
+        spark = texts.sparkSession
+        texts.select("bucket", "digest", "chk", "norm", "keep", "n").write.parquet(f"{path}/texts")
+        filters.write.parquet(f"{path}/filters")
+        spark.createDataFrame([(buckets,)], "buckets int").write.parquet(f"{path}/size")
+        return cls.open(spark, path)
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
+        """The snapshot of a table, written to `path`."""
+        reps = digests(docs, with_text=True).groupBy("digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
+        return cls.of(stage(reps, "texts"), bucket_keys, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Snapshot:
+        return cls(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/filters"), spark.read.parquet(f"{path}/size").first()["buckets"])
+
+    def matches(self, batch: DataFrame) -> DataFrame:
+        """(digest, chk, old_keep, old_n, new_keep, new_n) of the batch's distinct texts that the snapshot holds, byte for byte.
+
+        batch: digest, chk, norm, keep, n, one row a distinct text. Only texts that the filters let through meet the
+        snapshot's texts.
+        """
+        positive = stage(screen(batch.select(_bucket(self.buckets).alias("bucket"), "digest").distinct(), self.filters), "positives")
+        hit = batch.join(positive, "digest", "left_semi").select("digest", "chk", F.col("norm").alias("new_norm"), F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
+        old = self.texts.join(positive, "digest", "left_semi").select("digest", F.col("norm").alias("old_norm"), F.col("keep").alias("old_keep"), F.col("n").alias("old_n"))
+        same = hit.join(old, "digest").where("new_norm = old_norm")
+        return stage(same.select("digest", "chk", "old_keep", "old_n", "new_keep", "new_n"), "same")
+
+    def screened(self, docs: DataFrame) -> DataFrame:
+        """doc_id, keep_id, new of a later batch: keep_id is the snapshot's id of an equal text, else the batch's own largest one.
+
+        new tells that the row is the one that stays of a text which the snapshot lacks. The snapshot itself is not
+        changed. Null texts are empty; a null doc_id is new only where no other row of the text has an id.
+        """
+        d = digests(docs, with_text=True)
+        batch = stage(d.groupBy("digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n")), "batch")
+        known = self.matches(batch).select("digest", "chk", F.col("old_keep"), F.lit(True).alias("known"))
+        of = batch.select("digest", "chk", "keep").join(known, ["digest", "chk"], "left")
+        out = digests(docs).join(of, ["digest", "chk"])
+        known_ = F.coalesce("known", F.lit(False))
+        return out.select("doc_id", F.when(known_, F.col("old_keep")).otherwise(F.col("keep")).alias("keep_id"), (~known_ & F.col("doc_id").eqNullSafe(F.col("keep"))).alias("new"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
+
+
+def _half() -> Column:
+    """Half of the ids, by hash."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(2)) == 0
+
+
+def exact_dedup(docs: DataFrame, is_snapshot: Column | None = None, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """Group equal texts (A-Z lower-cased) of a snapshot and of a batch that comes in after it.
 
-    is_snapshot: a Column telling which rows the snapshot was made of; by default half of the ids, by hash.
+    is_snapshot: a Column telling which rows the snapshot was made of; by default half of the ids, by hash. (A snapshot
+    that is kept for many batches: Snapshot.build, then Snapshot.open(...).screened(batch).)
     Returns doc_id, keep_id, group_size, kept, text_sha256: one row per input row. The largest doc_id of a group stays.
 
     Defined cases: a null text is the empty text; empty texts are equal to each other. Repeated rows count in
@@ -162,22 +258,14 @@ def exact_dedup(docs: DataFrame, is_snapshot=None, bucket_keys: int = BUCKET_KEY
     Two SHA-256-equal texts of different bytes stay apart.
     """
     spark = docs.sparkSession
-    if is_snapshot is None:
-        is_snapshot = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     d = digests(docs, with_text=True)
-    reps = d.groupBy(is_snapshot.alias("old"), "digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
+    old = _half() if is_snapshot is None else is_snapshot
+    reps = d.groupBy(old.alias("old"), "digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"))
     reps = stage(reps, "texts")
     release(spark)
-    buckets = max(1, -(-reps.count() // bucket_keys))
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket")
-    old, new = reps.where("old"), reps.where(~F.coalesce("old", F.lit(False)))
-    filters = stage(build_filters(old.select(bucket, "digest").distinct()), "filters")
-    positive = stage(screen(new.select(bucket, "digest").distinct(), filters), "positives")
-
-    hit = new.join(positive, "digest", "left_semi").select("digest", "chk", F.col("norm").alias("new_norm"), F.col("keep").alias("new_keep"), F.col("n").alias("new_n"))
-    same = hit.join(old.select("digest", F.col("norm").alias("old_norm"), F.col("keep").alias("old_keep"), F.col("n").alias("old_n")), "digest")
-    same = same.where("new_norm = old_norm").select("digest", "chk", F.greatest("old_keep", "new_keep").alias("all_keep"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
-    same = stage(same, "same")
+    snapshot = Snapshot.of(reps.where("old").drop("old"), bucket_keys)
+    same = snapshot.matches(reps.where(~F.coalesce("old", F.lit(False))))
+    same = same.select("digest", "chk", F.greatest("old_keep", "new_keep").alias("all_keep"), (F.col("old_n") + F.col("new_n")).alias("all_n"))
     release(spark)
 
     alone = reps.select("digest", "chk", "keep", "n").join(same.select("digest", "chk"), ["digest", "chk"], "left_anti").where("n > 1")
@@ -191,3 +279,28 @@ def exact_dedup(docs: DataFrame, is_snapshot=None, bucket_keys: int = BUCKET_KEY
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+def without_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The rows of `docs`, whole, one of each group of equal texts: that of the largest doc_id.
+
+    The method and the defined cases of exact_dedup; but of rows that repeat id and text one stays, so the result holds
+    no two equal texts, whatever the ids. Scale: a row's text is shuffled once, lower-cased, with a bit a byte for its
+    capitals; what the filters prove to be alone is not joined to anything.
+    """
+    spark = docs.sparkSession
+    rest = [c for c in docs.columns if c != "text"]
+    d = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = d.schema["rest"].dataType.simpleString()
+    d = d.mapInArrow(_folded, f"rest {kind}, doc_id long, digest binary, chk long, norm string, capitals binary")
+    best = F.max_by(F.struct("rest", "capitals"), F.struct("doc_id", F.col("capitals").isNotNull(), F.xxhash64("capitals"))).alias("best")
+    reps = stage(d.groupBy(_half().alias("old"), "digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"), best), "texts")
+    release(spark)
+    snapshot = Snapshot.of(reps.where("old").drop("old", "best"), bucket_keys)
+    same = snapshot.matches(reps.where(~F.coalesce("old", F.lit(False))).drop("best"))
+    old_stays = F.col("new_keep").isNull() | F.coalesce(F.col("old_keep") > F.col("new_keep"), F.lit(False))
+    lost = same.select("digest", "chk", (~old_stays).alias("lost_old"))
+    is_old = F.coalesce("old", F.lit(False)).alias("lost_old")
+    kept = reps.select("*", is_old).join(lost, ["digest", "chk", "lost_old"], "left_anti")
+    out = kept.select("best.rest", "norm", "best.capitals").mapInArrow(_unfolded, f"rest {kind}, text string")
+    return out.select(*["text" if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
