@@ -8,18 +8,17 @@ penalised by the number of its languages, and the best set stands.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.sampling import least_hashed
+from tracewright.llm.sampling import held_out, labelled_texts
 
-#: Rows of each language that the model is fitted on, and the longest text among them (characters).
+#: Rows of each language that the model is fitted on (parameter of the fit alone).
 SAMPLE_ROWS = 1000
-SAMPLE_CHARS = 50_000
 _BITS = 16
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters lower-cased, other ASCII to space, bytes of longer characters kept.
@@ -39,6 +38,16 @@ def _units(text: str) -> tuple[np.ndarray, np.ndarray]:
     return slot, np.flatnonzero(b[:-2] == 32)
 
 
+def count_trigrams(rows: Iterable[tuple[str, str]]) -> dict[str, np.ndarray]:
+    """Trigram counts of each language; texts without a letter teach nothing."""
+    out: dict[str, np.ndarray] = {}
+    for lang, text in rows:
+        if text and _LETTER.search(text):
+            slot, _ = _units(text)
+            out[lang] = out.get(lang, 0) + np.bincount(slot, minlength=1 << _BITS)
+    return out
+
+
 class Mixture:
     """Trigram log-likelihoods of the languages, and the inference."""
 
@@ -46,15 +55,16 @@ class Mixture:
         self.langs, self.table = langs, table
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]]) -> Mixture:
-        """From (lang, text); add-half smoothing. Texts without a letter teach nothing."""
-        langs = sorted({lang for lang, text in rows if text and _LETTER.search(text)})
-        counts = np.full((1 << _BITS, len(langs)), 0.5)
-        for lang, text in rows:
-            if lang in langs and text:
-                slot, _ = _units(text)
-                counts[:, langs.index(lang)] += np.bincount(slot, minlength=1 << _BITS)
-        return cls(langs, np.log(counts / counts.sum(0)).astype(np.float32))
+    def fit(cls, rows: Iterable[tuple[str, str]]) -> Mixture:
+        """From (lang, text)."""
+        return cls.of(count_trigrams(rows))
+
+    @classmethod
+    def of(cls, counts: dict[str, np.ndarray]) -> Mixture:
+        """From each language's trigram counts; add-half smoothing."""
+        langs = sorted(counts)
+        table = np.column_stack([counts[x] for x in langs]) + 0.5 if langs else np.zeros((1 << _BITS, 0))
+        return cls(langs, np.log(table / table.sum(0)).astype(np.float32))
 
     def words(self, text: str) -> np.ndarray:
         """Log-likelihood of each word under each language."""
@@ -133,22 +143,20 @@ def _runner(broadcast):
     return run
 
 
-def held_out(doc_id: str = "doc_id"):
-    """True where crc32 of the id as text leaves 1 when divided by 3; false for a null id."""
-    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, text) to (lang, slot, n), summed over the task."""
+    rows = ((lang, text) for b in batches for lang, text in zip(b.column(0).to_pylist(), (t.as_py() for t in b.column(1)), strict=True))
+    for lang, n in count_trigrams(rows).items():
+        slot = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot.astype(np.int32)), pa.array(n[slot].astype(np.int64))], names=["lang", "slot", "n"])
 
-def training_rows(docs: DataFrame, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple]:
-    """(label, text) of at most `rows` rows a label, by least hash of the id; never a held-out row.
 
-    The bound is a parameter of the fit alone. Rows are counted first and ids chosen below a hash that the counts give,
-    so a label that holds most rows is not gathered; texts of the chosen ids alone come to the driver.
-    """
-    known = docs.where(~held_out() & F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    ids = least_hashed(known, label, rows, counts).select("doc_id").distinct()
-    got = known.join(F.broadcast(ids), "doc_id", "left_semi").select(label, "text")
-    return [tuple(r) for r in got.collect()]
+def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Mixture:
+    """The model of (doc_id, text, lang); counted by the tasks, so that counts alone come to the driver (65,536 a language)."""
+    some = labelled_texts(docs, "lang", sample_rows).select("lang", "text")
+    got = some.mapInArrow(_counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
+    lang, slot, n = (got.column(i).to_numpy() for i in range(3))
+    return Mixture.of({x: np.bincount(slot[lang == x], n[lang == x], 1 << _BITS) for x in set(lang.tolist())})
 
 
 def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -156,11 +164,11 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     lang, source and doc_id are no inputs of a prediction. Defined cases: a null text, or one without a letter, is
     `und` with score 0, and so is every text if no language was learned; repeated rows each get the same answer; a null
-    doc_id is not held out. Other columns are not read. The model (65,536 x languages) is broadcast; its size does not
-    grow with the corpus. No shuffle of texts: a lost executor's part is redone.
+    doc_id is not held out. Other columns are not read. The model (65,536 x languages) is fitted on at
+    most `sample_rows` rows a language, texts of any length, and broadcast; its size does not grow with the corpus. No shuffle of texts: a lost executor's part is redone.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    model = Mixture.fit(training_rows(d, "lang", sample_rows))
+    model = fit(d, sample_rows)
     shared = spark.sparkContext.broadcast((model.langs, model.table))
     return d.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(_runner(shared), "doc_id long, held_out boolean, lang_pred string, score double")
