@@ -11,36 +11,39 @@ from tracewright.session import ship, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go; rows with a null id have no score to go by and stay."""
+    """Rows whose text the toxicity score rejects go; each is judged by its own text, so null and repeated ids are as any other."""
     ship(spark)
-    marks = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, marks).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(scored, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (ASCII case aside; null is empty) the row with the largest doc_id stays, and one alone of rows that repeat."""
     ship(spark)
-    gone = exact_dedup.exact_dedup(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return exact_dedup.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the smallest doc_id stays."""
+    """Of each group linked by a five-word Jaccard similarity of 0.8 or more the row of the smallest doc_id stays, a null one last.
+
+    Covering SimHash tables propose pairs, prefix filtering proposes those they miss, and whole sets decide.
+    """
     ship(spark)
-    gone = near.near_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return near.without_near_copies(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Languages mixed upward to tempered weights: every document stays, and stands as often as its rate says."""
+    """Languages mixed upward to tempered weights: every document stays, and stands as often as its rate says.
+
+    A row that stands twice is meant to be seen twice in training; it is no copy that the stages before overlooked. Rows
+    without a language teach the classifier nothing and are mixed by their posteriors like all others.
+    """
     labelled = docs.select("doc_id", "text", F.col("lang").alias("domain"))
     mixed = mixing.mix(docs, labelled, whole=True, carry=True)
     return mixed.select("row", F.explode(F.array_repeat(F.lit(0), "copies"))).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document that is left."""
+    """Token counts and digests of each row that is left; a null text has no tokens."""
     ship(spark)
     return bpe.bpe_encode(docs, vocabulary())
 
