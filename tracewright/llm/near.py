@@ -5,8 +5,9 @@ three bits are proposed, and those of similarity t or more are linked. That sett
 cheaply, but not all: pairs of similarity 0.8 differ in ten bits of 64 on average, and covering so many takes thousands
 of tables. So the rest is found by prefix filtering. Two sets of similarity t or more share at least t of either set, so
 whatever the order of all shingles, the first n - ceil(t n) + 1 shingles of each have one in common. Documents meet in
-the buckets of those shingles, pairs that are linked by now or that their sizes or positions rule out are left out, and
-the others are verified on the whole sets: every pair of similarity t is linked, with certainty, and no other.
+the buckets of those shingles; pairs that are linked by now are left out, and those that their sizes, their positions, or,
+in larger buckets, a bitmap of 256 parities rules out (two sets differ in as many shingles at least as their bitmaps in
+bits). The others are verified on the whole sets: every pair of similarity t is linked, with certainty, and no other.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import simhash
 from tracewright.operators.components import contract
-from tracewright.session import partitions, stage
+from tracewright.session import partitions, release, stage
 
 WIDTH, LEAST = 5, 0.8
-#: Members of a bucket that meet all others in the first round, those outside its largest group before the others; each
-#: further round has eight times as many.
-CENTRES = 16
+#: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
+#: outside its largest group before the others (each further round has eight times as many).
+SMALL, CENTRES = 16, 512
 #: Cells in which shingles are counted, and the fullest ones that are told apart: they only order the shingles.
 CELLS, FULLEST = 1 << 20, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -52,27 +53,48 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-def _sets(width: int):
+_BITS = ("b0", "b1", "b2", "b3")
+_PRINT = "doc_id long, th long, node long, fp long, b0 long, b1 long, b2 long, b3 long, cell long, n long"
+
+
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """256 parities of a set, as four numbers."""
+    odd = np.bincount(((s * _ODD) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _printed(width: int):
+    """(doc_id, th, text) to what of each text is kept: the hash of its set, its fingerprint and bitmap; and once a task
+    the fullest cells of the shingles in it (the other columns null)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in _PRINT.split(", ")]
+        full = np.zeros(CELLS, np.int64)
         for b in batches:
-            all_ = [shingles(t.as_py(), width) for t in b.column(1)]
-            fp = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
+            all_ = [shingles(t.as_py(), width) for t in b.column(2)]
             sets = [np.unique(h) for h in all_]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            cols = [b.column(0), pa.array([_node(s) for s in sets], pa.int64()), pa.array(fp), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "node", "fp", "s"])
+            for h in sets:
+                np.add.at(full, _cell(h.view(np.int64)), 1)
+            fp = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
+            bits = np.array([_bitmap(h) for h in sets], np.int64).reshape(-1, 4)
+            cols = [b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), pa.array(fp), *map(pa.array, np.ascontiguousarray(bits.T))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=names)
+        top = np.argsort(-full, kind="stable")[:FULLEST]
+        top = top[full[top] > 1]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(top), pa.int64()) for _ in names[:-2]), pa.array(top.astype(np.int64)), pa.array(full[top])], names=names)
 
     return run
 
 
-def _nodes(width: int):
-    """(row, text) to (row, node)."""
+def _whole_sets(width: int):
+    """(text) to (node, s)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes = [_node(np.unique(shingles(t.as_py(), width))) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64())], names=["row", "node"])
+            sets = [np.unique(shingles(t.as_py(), width)) for t in b.column(0)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
 
     return run
 
@@ -81,30 +103,23 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return s & (CELLS - 1)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(CELLS, np.int64)
-    for b in batches:
-        n += np.bincount(_cell(b.column(0).flatten().to_numpy()), minlength=CELLS)
-    top = np.argsort(-n, kind="stable")[:FULLEST]
-    top = top[n[top] > 1]
-    yield pa.RecordBatch.from_arrays([pa.array(top.astype(np.int64)), pa.array(n[top])], names=["cell", "n"])
-
+def _prefixes(shared, width: int, least: float):
+    """(text) to the rows (key, node, n, pos) of its prefix."""
 
-def _prefixes(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, counts = shared.value
         full = np.zeros(CELLS, np.int64)
         full[cells] = counts
         for b in batches:
-            lists, nodes = b.column(1), b.column(0).to_pylist()
             key, node, size, pos = [], [], [], []
-            for k, x in enumerate(nodes):
-                s = lists[k].values.to_numpy()
+            for t in b.column(0):
+                u = np.unique(shingles(t.as_py(), width))
+                s = u.view(np.int64)
                 head = len(s) - math.ceil(least * len(s) - 1e-9) + 1
                 # rare shingles first: what thousands of texts share is met last
                 first = s[np.lexsort((s, full[_cell(s)]))][:head]
                 key.append(first)
-                node.append(np.full(len(first), x, np.int64))
+                node.append(np.full(len(first), _node(u), np.int64))
                 size.append(np.full(len(first), len(s), np.int32))
                 pos.append(np.arange(len(first), dtype=np.int32))
             if key:
@@ -113,21 +128,31 @@ def _prefixes(shared, least: float):
     return run
 
 
-def _pairs(centres: int, least: float):
-    """Scan rows (key, node, n, pos, root) sorted by key, node: pairs (a, b, None...), and the rows of buckets that are not done."""
+def _pairs(centres: int | None, least: float):
+    """Scan rows (key, node, n, pos, root[, bitmap]) sorted by key, node: pairs (a, b, None...), and the rows of buckets that are not done.
+
+    Without `centres` buckets of at most SMALL members are done, and larger ones passed on; with it, larger ones are.
+    """
     names = ["a", "b", "key", "node", "n", "pos"]
 
     def pairs(a, b):
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
 
+    def rest(cols):
+        none = pa.nulls(len(cols[0]), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols[:4])], names=names)
+
+    def needed(n, m):
+        """Shingles that sets of these sizes must share."""
+        return np.ceil(least / (1 + least) * (n.astype(np.float64) + m) - 1e-9)
+
     def may(n, pos, m, q):
         """Whether sets of these sizes that meet at these places of their prefixes can be alike."""
-        need = np.ceil(least / (1 + least) * (m + n) - 1e-9)
-        return (np.minimum(pos, q) + 1 + np.minimum(n - pos - 1, m - q - 1) >= need) & (np.minimum(m, n) >= least * np.maximum(m, n) - 1e-9)
+        return (np.minimum(pos, q) + 1 + np.minimum(n - pos - 1, m - q - 1) >= needed(n, m)) & (np.minimum(m, n) >= least * np.maximum(m, n) - 1e-9)
 
     def small(node, n, pos, root, row, after):
-        """All pairs of buckets of at most `centres` + 1 members: of rows k places apart, for each k. after: rows of the bucket behind each."""
-        for k in range(1, centres + 1):
+        """All pairs of small buckets: of rows k places apart, for each k. after: rows of the bucket behind each."""
+        for k in range(1, SMALL):
             row = row[after[row] >= k]
             if not len(row):
                 return
@@ -136,21 +161,27 @@ def _pairs(centres: int, least: float):
             if got.any():
                 yield pairs(node[row[got]], node[to[got]])
 
-    def large(key, node, n, pos, root):
+    def large(key, node, n, pos, root, *bits):
         """Members outside the largest group so far meet all others; those who have met all are done with the bucket."""
         if (root == root[0]).all():
             return
+        if centres is None:
+            yield rest((key, node, n, pos))
+            return
+        bits = np.column_stack(bits).view(np.uint64)
         _, group, count = np.unique(root, return_inverse=True, return_counts=True)
         some = np.flatnonzero(group != count.argmax())[:centres]
         left = np.ones(len(node), bool)
         for i in some:
             left[i] = False
-            got = node[left][may(n[i], pos[i], n[left], pos[left]) & (root[left] != root[i])]
-            if len(got):
-                yield pairs(np.full(len(got), node[i]), got)
+            to = np.flatnonzero(left & (root != root[i]))
+            to = to[may(n[i], pos[i], n[to], pos[to])]
+            differ = np.bitwise_count(bits[to] ^ bits[i]).sum(1)
+            to = to[differ <= n[i] + n[to] - 2 * needed(n[i], n[to])]
+            if len(to):
+                yield pairs(np.full(len(to), node[i]), node[to])
         if (root[left] != root[left][0]).any():
-            none = pa.nulls(int(left.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c[left]) for c in (key, node, n, pos))], names=names)
+            yield rest([c[left] for c in (key, node, n, pos)])
 
     def found(cols):
         key, node = cols[:2]
@@ -159,9 +190,11 @@ def _pairs(centres: int, least: float):
         cut = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
         lo, hi = np.r_[0, cut], np.r_[cut, len(cols[0])]
         size = hi - lo
-        after = np.repeat(hi, size) - np.arange(len(cols[0])) - 1
-        yield from small(*cols[1:], np.flatnonzero(np.repeat(size <= centres + 1, size)), after)
-        for s, e in zip(lo[size > centres + 1].tolist(), hi[size > centres + 1].tolist(), strict=True):
+        if centres is None:
+            after = np.repeat(hi, size) - np.arange(len(cols[0])) - 1
+            yield from small(*cols[1:5], np.flatnonzero(np.repeat(size <= SMALL, size)), after)
+        big = size > SMALL if centres is None else size > 1
+        for s, e in zip(lo[big].tolist(), hi[big].tolist(), strict=True):
             yield from large(*(c[s:e] for c in cols))
 
     def emit(cols):
@@ -178,7 +211,7 @@ def _pairs(centres: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(5)]
+            cols = [c.to_numpy() for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -193,15 +226,19 @@ def _pairs(centres: int, least: float):
     return run
 
 
-def _verified(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
+def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = p.select("node", "s").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    texts = p.select("node", "th").join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
+    sets = d.join(texts.select("th"), "th", "left_semi").select("text").mapInArrow(_whole_sets(width), "node long, s array<long>")
+    sets = stage(sets.dropDuplicates(["node"]), "ends")
     both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     alike = common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
-    return stage(both.where(alike).select("a", "b"), "links")
+    got = stage(both.where(alike).select("a", "b"), "links")
+    release(d.sparkSession)
+    return got
 
 
 def _covered(p: DataFrame) -> DataFrame:
@@ -214,34 +251,45 @@ def _covered(p: DataFrame) -> DataFrame:
     return same.unionAll(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _linked(docs: DataFrame, width: int, least: float, centres: int) -> tuple[DataFrame, DataFrame | None]:
-    """The documents' sets (doc_id, node, fp, s), and (node, root) of the sets that are linked to others, if any."""
+def _linked(docs: DataFrame, width: int, least: float, centres: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The texts (doc_id, th, text), what is kept of them (doc_id, th, node, ...), and (node, root) of sets that are linked, if any."""
     spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    p = stage(d.mapInArrow(_sets(width), "doc_id long, node long, fp long, s array<long>"), "sets")
-    links = _verified(stage(_covered(p), "pairs"), p, least)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    kept = stage(d.mapInArrow(_printed(width), _PRINT), "prints")
+    p = kept.where("node is not null")
+    links = _verified(stage(_covered(p), "pairs"), d, p, width, least)
     roots = None if links.isEmpty() else contract(links)
-    cells = p.select("s").mapInArrow(_counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    top = cells.orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
+    top = kept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
-    rows = p.select("node", "s").mapInArrow(_prefixes(shared, least), "key long, node long, n int, pos int")
+    rows = d.select("text").mapInArrow(_prefixes(shared, width, least), "key long, node long, n int, pos int")
+    bits, many = p.select("node", *_BITS).dropDuplicates(["node"]), None
     while True:
         if roots is None:
             rows = rows.withColumn("root", F.col("node"))
         else:
             rows = rows.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        if many is not None:
+            rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", *_BITS)
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        met = stage(dealt.mapInArrow(_pairs(centres, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        met = stage(dealt.mapInArrow(_pairs(many, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        release(spark)
         some = stage(met.where("a is not null").select("a", "b").distinct(), "pairs")
         if not some.isEmpty():
-            new = _verified(some, p, least)
-            links = links.unionAll(new)
+            new = _verified(some, d, p, width, least)
             if not new.isEmpty():
+                links = links.unionAll(new)
                 roots = contract(links)
         rows = met.where("a is null").select("key", "node", "n", "pos")
         if rows.isEmpty():
-            return p, roots
-        centres *= 8
+            return d, p, roots
+        many = centres if many is None else many * 8
+
+
+def _classes(p: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(doc_id, th, root)."""
+    ids = p.select("doc_id", "th", "node")
+    of = ids.withColumnRenamed("node", "root") if roots is None else ids.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
+    return stage(of, "classes")
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, centres: int = CENTRES) -> DataFrame:
@@ -252,30 +300,34 @@ def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, c
     words is one shingle of them all. A null doc_id is never a component's id unless all its members' ids are null.
     Other columns are not read. No rows in, none out.
 
-    Scale: a fifth of the shingles (at 0.8) is shuffled. In a bucket `centres` members (eight times as many each round)
-    meet all others, so a round makes rows in proportion to the bucket; rounds go on until every bucket is exhausted or
-    its members are linked.
+    Scale: a fifth of the shingles (at 0.8) is shuffled, and of the texts that the pairs to be verified name the whole
+    sets. In a large bucket `centres` members (eight times as many each round) meet all others, and only pairs that pass
+    the bitmap leave the task; rounds go on until every bucket is exhausted or its members are linked.
     """
-    p, roots = _linked(docs, width, least, centres)
-    ids = p.select("doc_id", "node")
-    of = ids.withColumn("root", F.col("node")) if roots is None else ids.join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
-    of = stage(of.select("doc_id", "root"), "classes")
+    _, p, roots = _linked(docs, width, least, centres)
+    of = _classes(p, roots)
     return of.join(of.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def without_near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAST, centres: int = CENTRES) -> DataFrame:
     """The rows of `docs`, whole, one of each group of near copies: that of the smallest doc_id, a null one last.
 
-    Groups and defined cases are those of near_components. Of rows that repeat an id the text of least hash stays, so no
-    row stays beside one that is linked to it, whatever their ids. Scale: rows collapse on the map side before the one
-    shuffle that carries texts, so a group may hold a third of them.
+    Groups and defined cases are those of near_components. Of rows that repeat an id the text of least hash stays, and of
+    rows that repeat both id and text one, so no row stays beside one that it is linked to. Scale: rows to drop are found
+    by id and text hash on rows of 24 bytes; only a long list of them makes the join shuffle texts.
     """
-    _, roots = _linked(docs, width, least, centres)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    rows = rows.mapInArrow(_nodes(width), f"row {kind}, node long")
-    if roots is not None:
-        rows = rows.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("node"))
-    id_ = F.col("row.doc_id").cast("long")
-    first = F.min_by("row", F.struct(id_.isNull(), id_, F.xxhash64("row.text")))
-    return rows.groupBy("node").agg(first.alias("row")).select("row.*")
+    _, p, roots = _linked(docs, width, least, centres)
+    of = _classes(p, roots)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    keep = of.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    id_ = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    gone = of.join(keep.select("root", "first"), "root").where(~first.eqNullSafe(F.col("first")))
+    gone = stage(gone.select(id_(F.col("doc_id")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("th").alias("_th")).distinct(), "gone")
+    own = F.struct("*").alias("row")
+    rows = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("row", id_(F.col("doc_id")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_th"))
+    left = rows.join(gone, ["_id", "_none", "_th"], "left_anti")
+    again = of.join(gone.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th")), ["doc_id", "th"], "left_anti").groupBy("doc_id", "th").count().where("count > 1")
+    if not again.isEmpty():
+        left = left.groupBy("_id", "_none", "_th").agg(F.first("row").alias("row"))
+    return left.select("row.*")
