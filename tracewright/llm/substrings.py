@@ -4,7 +4,7 @@ Every 100-byte string has one anchor: the 40-byte gram of least hash in it (righ
 anchors at equal places, so equal strings always meet under one anchor hash. A segment is a maximal run of strings with
 the same anchor occurrence. Only the first segment of each distinct content matters to others; its suffixes are sorted
 against those of the other distinct segments under the same anchor: multikey quicksort to a shallow depth, and a blind
-trie for groups that are still tied and not simply equal.
+trie for groups that are still tied there and not simply equal.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ _WINDOW = LENGTH - GRAM + 1
 #: Strings handled at once, and anchors gathered before repeats among them are settled on the spot.
 _BLOCK = 1 << 16
 _GATHER = 1 << 20
-#: Partly equal segments of one anchor beyond which its strings are dealt out one by one.
+#: Partly equal segments of one anchor beyond which its strings are dealt out one by one; strings gathered for that.
 CROWDED = 20_000
+_STRINGS = 1 << 17
 SHALLOW = 64
 #: Odd multipliers of the gram hash, one a level, and of its finaliser.
 _MULT = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -114,21 +115,55 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+_STRING = "p long, s binary, doc long, th long, a int"
+
+
+def _string_rows(p, s, doc, th, a) -> pa.RecordBatch:
+    cols = [pa.array(p, pa.int64()), pa.array(s, pa.binary()), pa.array(doc, pa.int64()), pa.array(th, pa.int64()), pa.array(a, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["p", "s", "doc", "th", "a"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (h, doc, th, a, n, bytes) taken apart: one row a string, met by two hashes of its own, as segments are."""
-    held: list[tuple] = []
-    size = 0
-    digest = xxhash.xxh3_128_intdigest
+    """Segments (h, doc, th, a, n, bytes) taken apart: one row a string, with its bytes and the hash that it is dealt by.
+
+    Of equal strings gathered here only the earliest keeps its bytes; the others are surely repeated, and are dealt by
+    their own place.
+    """
+    first: dict[bytes, tuple[int, int, int]] = {}
+    later: list[tuple[int, int, int]] = []
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        if first:
+            p = np.fromiter(map(digest, first), np.uint64, len(first)).view(np.int64)
+            yield _string_rows(p, list(first), *zip(*first.values(), strict=True))
+        for k in range(0, len(later), 100_000):
+            doc, th, a = np.array(later[k : k + 100_000], np.int64).T
+            yield _string_rows((doc * 1_000_003 + a) * 31, [None] * len(a), doc, th, a)
+
     for b in batches:
         for doc, th, a, n, raw in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
-            both = np.array([divmod(digest(raw[k : k + LENGTH]), 1 << 64) for k in range(n)], np.uint64)
-            held.append((both[:, 0], both[:, 1], np.full(n, doc, np.int64), np.full(n, th, np.int64), np.arange(a, a + n), np.ones(n, np.int64)))
-            size += n
-            if size >= _GATHER:
-                yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                held, size = [], 0
-    if held:
-        yield from _settled(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for k in range(n):
+                s, place = raw[k : k + LENGTH], (doc, th, a + k)
+                was = first.setdefault(s, place)
+                if was != place:
+                    first[s] = min(was, place)
+                    later.append(max(was, place))
+            if len(first) + len(later) >= _STRINGS:
+                yield from settled()
+                first, later = {}, []
+    yield from settled()
+
+
+def _met_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strings sorted by hash, bytes and place: those that equal the one before them, byte for byte, as runs (doc, th, a, n)."""
+    last = None
+    for b in batches:
+        s = b.column(1).to_pylist()
+        again = np.array([x is None or x == y for x, y in zip(s, [last, *s[:-1]], strict=True)], bool)
+        last = s[-1] if s else last
+        doc, th, a = (b.column(i).to_numpy()[again] for i in (2, 3, 4))
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(a), pa.array(np.ones(len(a), np.int32))], names=["doc", "th", "a", "n"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,40 +246,45 @@ class BlindTrie:
 def deep_shallow(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the strings of `length` bytes at `starts`, and for each place in that order whether a new string begins.
 
-    The multikey quicksort takes eight bytes as one character: a group that ties on the characters so far is parted by
-    the next, all groups in one vectorised step. Strings alone in their group are not looked at again.
+    The multikey quicksort takes eight bytes as one character and parts all groups that are open at once: around a pivot
+    of its own each falls into three, less, equal and greater, and the equal part goes on with its next character.
+    Strings alone in their group are not looked at again.
     """
     n = len(starts)
     order = np.arange(n)
     buf = np.concatenate([buf, np.zeros(16, np.uint8)])
     eights = np.lib.stride_tricks.sliding_window_view(buf, 8)
 
-    def word(at: np.ndarray, depth: int) -> np.ndarray:
+    def word(at: np.ndarray, depth) -> np.ndarray:
         w = np.ascontiguousarray(eights[at + depth]).view(">u8").ravel().astype(np.uint64)
-        over = depth + 8 - length
-        return w >> np.uint64(8 * over) if over > 0 else w
-
-    group = np.zeros(n, np.int64)  # of each place in the order: the place where its group begins
-    open_ = np.arange(n)
-    for depth in range(0, shallow, 8):
-        if not len(open_):
-            break
-        w = word(starts[order[open_]], depth)
-        by = np.lexsort((w, group[open_]))
-        order[open_], w = order[open_[by]], w[by]
+        return w >> (np.uint64(8) * np.maximum(depth + 8 - length, 0).astype(np.uint64))
+
+    group, depth = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of each place: where its group begins, bytes that are equal in it
+    open_ = np.arange(n if n > 1 else 0)
+    while len(open_):
         g = group[open_]
-        new = np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])]
+        begins = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        size = np.diff(np.r_[begins, len(open_)])
+        w = word(starts[order[open_]], depth[open_])
+        pivot = np.repeat(w[begins + size // 2], size)
+        side = (w > pivot).astype(np.int8) - (w < pivot)
+        by = np.lexsort((side, g))
+        order[open_], side = order[open_[by]], side[by]
+        depth[open_[side == 0]] += 8
+        new = np.r_[True, (g[1:] != g[:-1]) | (side[1:] != side[:-1])]
         group[open_] = open_[np.flatnonzero(new)[np.cumsum(new) - 1]]
         size = np.bincount(np.cumsum(new) - 1)
-        open_ = open_[np.repeat(size > 1, size)]
+        open_ = open_[np.repeat(size > 1, size) & (depth[open_] < shallow)]
     new = np.r_[True, group[1:] != group[:-1]][:n]
+    size = np.bincount(np.cumsum(new) - 1, minlength=1)
+    open_ = np.flatnonzero(np.repeat(size > 1, size)) if n else open_
     if not len(open_):
         return order, new
     # tied groups: most are equal throughout, which one vectorised comparison with the group's first shows
     head = group[open_]
     differs = np.zeros(len(open_), bool)
-    for depth in range(shallow, length, 8):
-        differs |= word(starts[order[open_]], depth) != word(starts[order[head]], depth)
+    for at in range(shallow, length, 8):
+        differs |= word(starts[order[open_]], np.int64(at)) != word(starts[order[head]], np.int64(at))
     raw = buf.tobytes()
     for h in np.unique(head[differs]).tolist():
         places = open_[head == h] if len(open_) < 64 else open_[np.searchsorted(head, h) : np.searchsorted(head, h, side="right")]
@@ -396,8 +436,8 @@ def _all_resolved(d: DataFrame, met: DataFrame, crowded: int) -> DataFrame:
     found = stage(rows.mapInArrow(_resolve, "doc long, th long, a int, n int"), "found")
     if none:
         return found
-    apart = stage(_dealt(pieces(True).mapInArrow(_strings, _SEG)).mapInArrow(_meet, _SEG), "apart")
-    return found.unionAll(_placed(apart, 0).select("doc", "th", "a", "n"))
+    apart = pieces(True).mapInArrow(_strings, _STRING).repartition(partitions(d.sparkSession), "p").sortWithinPartitions("p", "s", "doc", "th", "a")
+    return found.unionAll(stage(apart.mapInArrow(_met_strings, "doc long, th long, a int, n int"), "apart"))
 
 
 def _repeated(d: DataFrame) -> bool:
@@ -417,7 +457,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, crowded: int = CROW
     there, so a passage that a third of all documents share costs a few rows a task. Two 64-bit hashes, of the anchor
     and of the segment, decide equality of whole segments; partly equal ones are sorted and compared byte by byte. An
     anchor with more than `crowded` partly equal segments would not fit one task: its strings are taken apart, one row
-    each, and meet by 128 bits of hash over all tasks instead.
+    each with its bytes, dealt by hash over all tasks, sorted there outside memory and compared byte by byte as well.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
