@@ -16,17 +16,22 @@ _OUT = "thread string, lino long, status string, ti int, edge string, to_node st
 def segment_stream(lines: DataFrame, automaton: Automaton) -> DataFrame:
     """(thread, lino, status, ti, edge, to_node) of a stream of thread, lino, component, keyword.
 
-    Lines of one thread are taken in the order of lino within a micro-batch; the state is a node, a call stack and a
-    counter, whatever the thread's length.
+    Lines of one thread are taken in the order of lino within a micro-batch; one whose lino is not beyond that of the
+    batches before comes too late to change what they gave out: its status is `late`, and the automaton does not see it.
+    The state is a node, a call stack, a counter and the last lino, whatever the thread's length.
     """
 
     def kernel(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        node, stack, ti = state.get if state.exists else (-1, "", -1)
+        node, stack, ti, last = state.get if state.exists else (-1, "", -1, -1)
         current = None if node < 0 else (node, tuple(int(x) for x in stack.split(",") if x))
-        for p in batches:
-            p = p.sort_values("lino")
-            rows = []
+        p = pd.concat(list(batches)).sort_values("lino", kind="stable")
+        if len(p):
+            rows, before = [], last
             for lino, component, keyword in zip(p["lino"], p["component"], p["keyword"], strict=True):
+                if lino <= before:
+                    rows.append((key[0], lino, "late", None, None, None))
+                    continue
+                last = lino
                 got = automaton.step(*current, keyword) if current else None
                 if got:
                     current = got[1:]
@@ -38,6 +43,6 @@ def segment_stream(lines: DataFrame, automaton: Automaton) -> DataFrame:
                     current = None
                     rows.append((key[0], lino, "dangling", None, None, None))
             yield pd.DataFrame(rows, columns=["thread", "lino", "status", "ti", "edge", "to_node"]).astype({"ti": "Int32"})
-        state.update((current[0] if current else -1, ",".join(map(str, current[1])) if current else "", ti))
+        state.update((current[0] if current else -1, ",".join(map(str, current[1])) if current else "", ti, int(last)))
 
-    return lines.groupBy("thread").applyInPandasWithState(kernel, _OUT, "node int, stack string, ti int", "append", GroupStateTimeout.NoTimeout)
+    return lines.groupBy("thread").applyInPandasWithState(kernel, _OUT, "node int, stack string, ti int, last long", "append", GroupStateTimeout.NoTimeout)
