@@ -6,6 +6,8 @@ pairs of a key. Ranking is one window per side; the join is an ordinary equi-joi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,24 +35,22 @@ def link(froms: DataFrame, tos: DataFrame, key: list[str], strategy: str = "ONE"
 
 
 def link_rules(rules: list[dict], froms: dict[str, DataFrame], tos: dict[str, DataFrame], ident: str = "pace_id") -> DataFrame:
-    """Rules in declaration order: ONE from-items and all to-items that an earlier rule matched take no further part."""
-    used_f: DataFrame | None = None
-    used_t: DataFrame | None = None
-    out: DataFrame | None = None
+    """Rules in declaration order: ONE from-items and all to-items that an earlier rule matched take no further part.
+
+    Rules: name, from, to (keys of froms and tos), key, strategy. Only what rules with the same side could have taken is
+    looked up.
+    """
+    out: list[tuple[dict, DataFrame]] = []
     for rule in rules:
         f, t = froms[rule["from"]], tos[rule["to"]]
-        if used_t is not None:
-            t = t.join(used_t, ident, "left_anti")
-            if rule["strategy"] == "ONE":
-                f = f.join(used_f, ident, "left_anti")
+        for earlier, got in out:
+            if earlier["to"] == rule["to"] or tos[earlier["to"]] is t:
+                t = t.join(got.select(F.col("to_id").alias(ident)), ident, "left_anti")
+            if rule["strategy"] == "ONE" and (earlier["from"] == rule["from"] or froms[earlier["from"]] is f):
+                f = f.join(got.select(F.col("from_id").alias(ident)).distinct(), ident, "left_anti")
         got = link(f, t, rule["key"], rule["strategy"], ident=ident).select("from_id", "to_id", "from_us", "to_us")
-        got = stage(got.withColumn("rule", F.lit(rule["name"])), "links")
-        newly_f, newly_t = got.select(F.col("from_id").alias(ident)).distinct(), got.select(F.col("to_id").alias(ident))
-        used_f = newly_f if used_f is None else used_f.unionAll(newly_f)
-        used_t = newly_t if used_t is None else used_t.unionAll(newly_t)
-        out = got if out is None else out.unionAll(got)
-    assert out is not None
-    return out
+        out.append((rule, stage(got.withColumn("rule", F.lit(rule["name"])), "links")))
+    return reduce(DataFrame.unionAll, (got for _, got in out))
 
 
 def misses(items: DataFrame, links: DataFrame, side: str, ident: str = "pace_id") -> DataFrame:
@@ -58,6 +58,14 @@ def misses(items: DataFrame, links: DataFrame, side: str, ident: str = "pace_id"
     return items.join(links.select(F.col(f"{side}_id").alias(ident)), ident, "left_anti")
 
 
+def named_misses(items: DataFrame, links: DataFrame, side: str, rules: list[str], strategy: str = "ONE", ident: str = "pace_id") -> DataFrame:
+    """(pace_id, rules) of the items that fail: for ONE and ANY one row that names all their rules, for ALL a row for each rule missed."""
+    if strategy != "ALL":
+        return misses(items, links, side, ident).select(ident, F.lit("/".join(rules)).alias("rules"))
+    wanted = items.select(ident, F.explode(F.array(*map(F.lit, rules))).alias("rules"))
+    return wanted.join(links.select(F.col(f"{side}_id").alias(ident), F.col("rule").alias("rules")), [ident, "rules"], "left_anti")
+
+
 def remote_type(is_remote: Column, from_host: Column, to_host: Column) -> Column:
     return F.when(~is_remote, "local").when(from_host != to_host, "remote").otherwise("local_remote")
 
@@ -70,12 +78,69 @@ def diagnostics(froms: DataFrame, tos: DataFrame, links: DataFrame) -> DataFrame
         F.count(F.when(lapse < 0, 1)).alias("n_negative"),
         F.max(F.when(lapse < 0, -lapse)).alias("max_negative_us"),
     )
-    f, t = froms.agg(F.count("*").alias("n_from")), tos.agg(F.count("*").alias("n_to"))
-    one = F.lit(1)
-    joined = a.withColumn("_", one).join(f.withColumn("_", one), "_").join(t.withColumn("_", one), "_").drop("_")
+    n_from, n_to = (x.agg(F.count("*")).scalar() for x in (froms, tos))
+    joined = a.withColumn("n_from", n_from).withColumn("n_to", n_to)
     return joined.withColumn("from_missed", F.col("n_from") - F.col("n_links")).withColumn("to_missed", F.col("n_to") - F.col("n_links"))
 
 
+def match_diagnostics(froms: DataFrame, tos: DataFrame, links: DataFrame, key: list[str], ident: str = "pace_id") -> DataFrame:
+    """One row a side: items whose key the other side lacks (nomatch), those that met others but got no link
+    (novalidmatch), those that met several (multi), with the most and the mean they met.
+
+    Items meet by counts a key, never as pairs.
+    """
+    sides = {"from": (froms, tos), "to": (tos, froms)}
+    out = []
+    for side, (own, other) in sides.items():
+        met = other.dropna(subset=key).groupBy(*key).agg(F.count("*").alias("met"))
+        linked = links.select(F.col(f"{side}_id").alias(ident), F.lit(True).alias("linked")).distinct()
+        x = own.join(met, key, "left").join(linked, ident, "left").select(F.coalesce("met", F.lit(0)).alias("met"), F.coalesce("linked", F.lit(False)).alias("linked"))
+        several = F.when(F.col("met") > 1, F.col("met"))
+        out.append(
+            x.agg(
+                F.count(F.when(F.col("met") == 0, 1)).alias("nomatch"),
+                F.count(F.when((F.col("met") > 0) & ~F.col("linked"), 1)).alias("novalidmatch"),
+                F.count(several).alias("multi"),
+                F.max(several).alias("most"),
+                F.avg(several).alias("mean"),
+            ).select(F.lit(side).alias("side"), "*")
+        )
+    return out[0].unionAll(out[1])
+
+
+def ambiguous(froms: DataFrame, tos: DataFrame, links: DataFrame, key: list[str], k: int = 20, time: str = "us", ident: str = "pace_id") -> DataFrame:
+    """The first k items, by time, whose key stands on a side more than once, and whether they got a link."""
+    both = [x.dropna(subset=key).select(*key, F.lit(side).alias("side"), ident, time) for side, x in (("from", froms), ("to", tos))]
+    items = both[0].unionAll(both[1])
+    per = items.groupBy(*key).agg(F.count(F.when(F.col("side") == "from", 1)).alias("f"), F.count(F.when(F.col("side") == "to", 1)).alias("t"))
+    several = per.where("f > 0 and t > 0 and f + t > 2").select(*key)
+    linked = links.select(F.lit("from").alias("side"), F.col("from_id").alias(ident)).unionAll(links.select(F.lit("to"), "to_id")).distinct()
+    x = items.join(several, key, "left_semi").join(linked.withColumn("linked", F.lit(True)), ["side", ident], "left")
+    return x.withColumn("linked", F.coalesce("linked", F.lit(False))).orderBy(time, "side", ident).limit(k)
+
+
+def many_into_one(links: DataFrame) -> DataFrame:
+    """Paces that more than one link enters: (to_id, n). A sound trace has none; a link may leave a pace any number of times."""
+    return links.groupBy("to_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def adjacency(links: DataFrame, misses_: DataFrame | None = None) -> DataFrame:
+    """Links and misses by instance: (ti_id, direction, kind, peer_ti, from_id, to_id).
+
+    links: kind, from_ti, to_ti, from_id, to_id; misses_: side, ti_id, pace_id. A link stands at both its instances (`joins`
+    where it leaves, `joined` where it enters), one inside an instance nowhere; a miss is of the kind `empty`.
+    """
+    x = links.where("from_ti <> to_ti")
+    side = lambda name, own, peer: x.select(F.col(own).alias("ti_id"), F.lit(name).alias("direction"), "kind", F.col(peer).alias("peer_ti"), "from_id", "to_id")
+    both = side("joins", "from_ti", "to_ti").unionAll(side("joined", "to_ti", "from_ti"))
+    if misses_ is None:
+        return both
+    leaves = F.col("side") == "from"
+    none = F.lit(None).cast("string")
+    empty = misses_.select("ti_id", F.when(leaves, "joins").otherwise("joined").alias("direction"), F.lit("empty").alias("kind"), none.alias("peer_ti"), F.when(leaves, F.col("pace_id")).alias("from_id"), F.when(~leaves, F.col("pace_id")).alias("to_id"))
+    return both.unionAll(empty)
+
+
 def success(links: DataFrame, strategy: str, rules: list[str]) -> DataFrame:
     """Per from-item: ONE and ANY succeed with one link at least, ALL with exactly one in every rule."""
     per = links.groupBy("from_id", "rule").agg(F.count("*").alias("n")).groupBy("from_id").agg(F.count("*").alias("rules"), F.max("n").alias("most"), F.sum("n").alias("links"))
