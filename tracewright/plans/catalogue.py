@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.operators import automaton as A
-from tracewright.operators import clock, links, requests, stats, variables, workflow
+from tracewright.operators import clock, links, report, requests, stats, variables, workflow
 from tracewright.plans.api import Intervals, Requests
+from tracewright.plans.engine import Trace
 from tracewright.plans.spec import Automaton, Master, Registry
 from tracewright.sources import tracelog
 
@@ -208,13 +209,15 @@ def automaton_instances(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {WALK} SELECT 'e' || s0 || '->n' || s0 AS position, keyword, count(*) AS errors, min(lino) AS first_lino
- FROM walk WHERE s0 > 0 AND (status = 'dangling' OR status = 'start' AND s0 < 3) GROUP BY ALL"""
+    f"""WITH RECURSIVE {WALK}, f AS (SELECT *, status = 'dangling' AND coalesce(lag(status) OVER (PARTITION BY thread ORDER BY lino), '') <> 'dangling' AS first FROM walk),
+ r AS (SELECT *, max(CASE WHEN first THEN lino END) OVER (PARTITION BY thread ORDER BY lino) AS run FROM f),
+ bad AS (SELECT thread, lino AS run, s0, keyword, lino, TRUE AS err FROM r WHERE status = 'start' AND s0 IN (1, 2)
+  UNION ALL SELECT d.thread, d.run, c.s0, c.keyword, d.lino, d.first FROM r d JOIN r c ON c.thread = d.thread AND c.lino = d.run WHERE d.status = 'dangling')
+ SELECT CASE WHEN s0 = 0 THEN 'thread start' ELSE 'e' || s0 || '->n' || s0 END AS position, keyword, count(*) FILTER (err) AS errors, count(*) AS affected, min(lino) FILTER (err) AS first_lino
+ FROM bad GROUP BY 1, 2"""
 )
 def automaton_dangling_digest(spark, sf_dir):
-    t = trace(spark, sf_dir)
-    got = A.segment(t, shop_automaton()).join(t.select("thread", "lino", "keyword"), ["thread", "lino"])
-    return A.error_digest(got)
+    return A.error_digest(A.segment(trace(spark, sf_dir), shop_automaton()))
 
 
 @query(
@@ -360,16 +363,31 @@ def dimension_join(spark, sf_dir):
     return c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, F.col("n_regionkey") == r["r_regionkey"], "left").select("c_custkey", "n_name", "r_name")
 
 
-@query("SELECT event_id, coalesce(n_name, 'unknown') AS alias FROM events LEFT JOIN nation ON user_id % 30 = n_nationkey")
-def key_translation(spark, sf_dir):
-    e, n = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
-    return e.join(n, F.col("user_id") % 30 == n["n_nationkey"], "left").select("event_id", F.coalesce("n_name", F.lit("unknown")).alias("alias"))
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, x AS (SELECT 'from' AS side, a.event_id, b.n AS met, l.from_id IS NOT NULL AS linked
+   FROM (SELECT * FROM lines WHERE keyword = 'view') a LEFT JOIN (SELECT k, count(*) AS n FROM lines WHERE keyword = 'click' GROUP BY k) b USING (k) LEFT JOIN linked l ON l.from_id = a.event_id
+  UNION ALL SELECT 'to', a.event_id, b.n, l.to_id IS NOT NULL FROM (SELECT * FROM lines WHERE keyword = 'click') a LEFT JOIN (SELECT k, count(*) AS n FROM lines WHERE keyword = 'view' GROUP BY k) b USING (k) LEFT JOIN linked l ON l.to_id = a.event_id)
+ SELECT side, count(*) FILTER (met IS NULL) AS nomatch, count(*) FILTER (met > 0 AND NOT linked) AS novalidmatch, count(*) FILTER (met > 1) AS multi, max(met) FILTER (met > 1) AS most, avg(met) FILTER (met > 1) AS mean FROM x GROUP BY side"""
+)
+def match_diagnostics(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    return links.match_diagnostics(_items(t, "view"), _items(t, "click"), _linked(spark, sf_dir), ["k"])
+
+
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, n AS (SELECT k, count(*) FILTER (keyword = 'view') AS f, count(*) FILTER (keyword = 'click') AS t FROM lines GROUP BY k)
+ SELECT k, side, pace_id, us, linked FROM (SELECT k, CASE keyword WHEN 'view' THEN 'from' ELSE 'to' END AS side, event_id AS pace_id, us, event_id IN (SELECT from_id FROM linked UNION ALL SELECT to_id FROM linked) AS linked
+   FROM lines JOIN n USING (k) WHERE keyword IN ('view', 'click') AND f > 0 AND t > 0 AND f + t > 2) ORDER BY us, side, pace_id LIMIT 20"""
+)
+def ambiguous_matches(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    return links.ambiguous(_items(t, "view"), _items(t, "click"), _linked(spark, sf_dir), ["k"])
 
 
 # -- requests ---------------------------------------------------------------------------------------------------------
 def _ti_links(p: DataFrame) -> DataFrame:
-    """Purchases linked to later instances' views with the same k: instance to instance."""
-    f = p.where("edge = 'e3'").select("pace_id", "us", "k", "ti_id")
+    """Clicks linked to instances' views with the same k, first in first out: instance to instance."""
+    f = p.where("edge = 'e2'").select("pace_id", "us", "k", "ti_id")
     t = p.where("edge = 'e1'").select("pace_id", "us", "k", "ti_id")
     got = links.link(f, t, ["k"])
     got = got.join(f.select(F.col("pace_id").alias("from_id"), F.col("ti_id").alias("from_ti")), "from_id")
@@ -379,7 +397,7 @@ def _ti_links(p: DataFrame) -> DataFrame:
 TI_LINKS = (
     WALK
     + """,
- pf AS (SELECT pace_id, us, k, ti_id, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e3'),
+ pf AS (SELECT pace_id, us, k, ti_id, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e2'),
  pt AS (SELECT pace_id, us, k, ti_id, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e1'),
  tl AS (SELECT pf.pace_id AS from_id, pt.pace_id AS to_id, pf.ti_id AS from_ti, pt.ti_id AS to_ti FROM pf JOIN pt USING (k, rn)),
  nb AS (SELECT from_ti AS a, to_ti AS b FROM tl UNION SELECT to_ti, from_ti FROM tl),
@@ -401,15 +419,14 @@ def connected_components(spark, sf_dir):
 
 _BUILT = """SELECT group_id, 'purchase' AS request_type, CASE WHEN bool_or(is_complete) THEN 'BOUGHT' END AS request_state,
  count(*) AS len_threadinss, CAST(sum(n_paces - 1) AS BIGINT) AS len_paces, count(DISTINCT thread) AS len_threads, min(from_us) AS from_us, max(to_us) AS last_us,
- concat_ws(',', CASE WHEN count(*) > 1 THEN 'several starts' END, CASE WHEN count(*) FILTER (is_complete) = 0 THEN 'no end' WHEN count(*) FILTER (is_complete) > 1 THEN 'several ends' END,
-  CASE WHEN count(*) FILTER (NOT is_complete) > 0 THEN 'incomplete' END) AS errors
+ CASE WHEN count(*) > 1 THEN 'several starts' WHEN count(*) FILTER (is_complete) = 0 THEN 'no end,incomplete' ELSE '' END AS errors
  FROM insts JOIN grp USING (ti_id) GROUP BY group_id"""
 
 
 def _built(spark, sf_dir) -> DataFrame:
-    p, _, group_of = _grouped(spark, sf_dir)
+    p, got, group_of = _grouped(spark, sf_dir)
     inst = A.instances(p).join(p.groupBy("ti_id").agg(F.min("host").alias("host")), "ti_id")
-    return requests.build(inst, group_of)
+    return requests.build(requests.members(inst, group_of, got))
 
 
 @query(f"WITH RECURSIVE {TI_LINKS} {_BUILT}")
@@ -429,17 +446,28 @@ def auto_names(spark, sf_dir):
     return requests.auto_names(done).select(F.col("group_id").alias("ti_id"), "request")
 
 
-def _bought(spark, sf_dir) -> DataFrame:
-    """Main paths of the complete instances, each a request of its own."""
-    p = paces(spark, sf_dir).withColumn("group_id", F.col("ti_id"))
-    p = p.withColumn("is_start", F.col("edge") == "e1").withColumn("is_end", F.col("edge") == "e3")
-    none = p.where("false").select(F.col("pace_id").alias("from_id"), F.col("pace_id").alias("to_id"))
-    return requests.main_path(p, none)
+def _main(spark, sf_dir) -> DataFrame:
+    """Main paths of the linked groups."""
+    p, got, group_of = _grouped(spark, sf_dir)
+    p = p.join(group_of, "ti_id").withColumn("is_start", F.col("edge") == "e1").withColumn("is_end", F.col("edge") == "e3")
+    return requests.main_paths(p, got)[0]
+
+
+MAIN = (
+    TI_LINKS
+    + """,
+ ends AS (SELECT group_id, min(pace_id) AS pid FROM paces JOIN grp USING (ti_id) WHERE s = 3 GROUP BY group_id HAVING count(*) = 1),
+ pr AS (SELECT p.pace_id, coalesce(l.from_id, p.before) AS prev, CASE WHEN l.from_id IS NULL THEN 'thread' ELSE 'link' END AS kind
+   FROM (SELECT pace_id, lag(pace_id) OVER (PARTITION BY ti_id ORDER BY seq) AS before FROM paces) p LEFT JOIN tl l ON l.to_id = p.pace_id),
+ mp AS (SELECT group_id, pid AS node, 0 AS step FROM ends UNION ALL SELECT group_id, pr.prev, step + 1 FROM mp JOIN pr ON pr.pace_id = mp.node WHERE pr.prev IS NOT NULL AND step < 500),
+ main AS (SELECT group_id, CAST(max(step) OVER (PARTITION BY group_id) - 1 - step AS INTEGER) AS pos, kind, prev AS from_id, node AS to_id
+   FROM mp JOIN pr ON pr.pace_id = mp.node WHERE group_id NOT IN (SELECT group_id FROM mp WHERE step = 500))"""
+)
 
 
-@query(f"""WITH RECURSIVE {WALK} SELECT i.ti_id AS group_id, CAST(i.seq AS INTEGER) AS pos, i.pace_id AS from_id FROM ints i JOIN insts USING (ti_id) WHERE is_complete""")
+@query(f"WITH RECURSIVE {MAIN} SELECT group_id, pos, kind, from_id, to_id FROM main WHERE from_id IS NOT NULL")
 def main_path(spark, sf_dir):
-    return _bought(spark, sf_dir).where("ok").select("group_id", "pos", "from_id")
+    return _main(spark, sf_dir)
 
 
 def _intervals(spark, sf_dir) -> DataFrame:
@@ -452,13 +480,13 @@ def path_order(spark, sf_dir):
 
 
 # -- clocks -----------------------------------------------------------------------------------------------------------
-_SKEWED = """skewed AS (SELECT from_host, to_host, to_us - from_us + (from_host - to_host) * 1000000 AS lapse FROM linked WHERE to_us > from_us AND from_host <> to_host)"""
+_SKEWED = """skewed AS (SELECT from_host, to_host, to_us - from_us + (from_host - to_host) * 864000000000 AS lapse FROM linked WHERE to_us > from_us AND from_host <> to_host)"""
 
 
 def _skewed(spark, sf_dir) -> DataFrame:
-    """Forward links whose hosts' clocks are off by a second a host number."""
+    """Forward links whose hosts' clocks are off by ten days a host number."""
     got = _hosted(spark, sf_dir).where("to_us > from_us and from_host <> to_host")
-    skew = (F.col("from_host") - F.col("to_host")) * 1_000_000
+    skew = (F.col("from_host") - F.col("to_host")) * F.lit(864_000_000_000)
     return got.withColumn("to_us", F.col("to_us") + skew)
 
 
@@ -478,14 +506,20 @@ def clock_violated_pairs(spark, sf_dir):
     return clock.violated_pairs(clock.pair_bounds(_skewed(spark, sf_dir)))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violated")
+@query(
+    f"""WITH {LINES},{_zip('view', 'click')}, {_SKEWED}, b AS (SELECT max(-lapse) FILTER (from_host > to_host) AS low, min(lapse) FILTER (from_host < to_host) AS high FROM skewed WHERE from_host + to_host = 1)
+ SELECT '0' AS host, 0.0::DOUBLE AS "offset" UNION ALL SELECT '1', -(low + high) / 2.0 FROM b"""
+)
+def clock_offsets_two_hosts(spark, sf_dir):
+    """Two hosts bounded on both sides: the first stands at 0, the other in the middle of its range."""
+    return clock.offsets(_skewed(spark, sf_dir).where("from_host + to_host = 1"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS violated, TRUE AS violated_before")
 def clock_post_check(spark, sf_dir):
-    x = _skewed(spark, sf_dir).withColumn("from_host", F.col("from_host").cast("string")).withColumn("to_host", F.col("to_host").cast("string"))
-    off = clock.offsets(x)
-    a, b = (off.select(F.col("host").alias(f"{s}_host"), F.col("offset").alias(f"{s}_off")) for s in ("from", "to"))
-    y = x.join(F.broadcast(a), "from_host", "left").join(F.broadcast(b), "to_host", "left")
-    late = clock.corrected(F.col("from_us"), F.col("from_off")) > clock.corrected(F.col("to_us"), F.col("to_off")) + 1e-3
-    return y.agg(F.count(F.when(late, 1)).alias("violated"))
+    x = _skewed(spark, sf_dir)
+    before = clock.violated_pairs(clock.pair_bounds(x)).agg(F.count("*")).scalar()
+    return clock.still_violated(x, clock.offsets(x)).agg(F.count("*").alias("violated")).withColumn("violated_before", before > 0)
 
 
 @query(f"WITH {LINES} SELECT event_id, us - (SELECT min(us) FROM lines WHERE keyword = 'view') AS us FROM lines")
@@ -605,9 +639,10 @@ def workflow_trie(spark, sf_dir):
     return workflow.trie(_intervals(spark, sf_dir), "ti_id", "seq")
 
 
-@query("SELECT * FROM (VALUES ('e2', 'e2'), ('e2>e3', 'e2>e3')) t(prefix, merged)")
+@query("SELECT * FROM (VALUES ('a', 'a'), ('a>b', 'a>b'), ('c', 'c'), ('c>b', 'a>b'), ('c>b>d', 'c>b>d'), ('a>b>a', 'a>b>a')) t(prefix, merged)")
 def workflow_fold(spark, sf_dir):
-    return workflow.folded(workflow.trie(_intervals(spark, sf_dir), "ti_id", "seq"))
+    """Two groups of one label become one; a third, whose merging would close a circle, stays."""
+    return workflow.folded(spark.createDataFrame([("a", 5), ("a>b", 3), ("c", 2), ("c>b", 2), ("c>b>d", 1), ("a>b>a", 1)], "prefix string, n long"))
 
 
 @query(f"WITH RECURSIVE {WALK} SELECT 'read' AS stage, 'lines' AS counter, count(*) AS n FROM lines UNION ALL SELECT 'build_t', 'paces', count(*) FROM paces UNION ALL SELECT 'build_t', 'instances', count(*) FROM insts UNION ALL SELECT 'build_t', 'dangling', count(*) FROM walk WHERE status = 'dangling'")
@@ -619,7 +654,7 @@ def stage_report(spark, sf_dir):
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-@query(f"WITH RECURSIVE {WALK} SELECT 'thread' AS kind, count(*) AS n, CAST(sum(lapse) AS BIGINT) AS total FROM ints UNION ALL SELECT 'link', count(*), CAST(sum(pt.us - pf.us) AS BIGINT) FROM (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e3') pf JOIN (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e1') pt USING (k, rn)")
+@query(f"WITH RECURSIVE {WALK} SELECT 'thread' AS kind, count(*) AS n, CAST(sum(lapse) AS BIGINT) AS total FROM ints UNION ALL SELECT 'link', count(*), CAST(sum(pt.us - pf.us) AS BIGINT) FROM (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e2') pf JOIN (SELECT us, k, row_number() OVER (PARTITION BY k ORDER BY us, pace_id) AS rn FROM paces WHERE edge = 'e1') pt USING (k, rn)")
 def interval_union_common(spark, sf_dir):
     p = paces(spark, sf_dir)
     joins = _ti_links(p).withColumn("lapse", F.col("to_us") - F.col("from_us"))
@@ -627,17 +662,26 @@ def interval_union_common(spark, sf_dir):
     return got.frame.groupBy("kind").agg(F.count("*").alias("n"), F.sum("lapse").alias("total"))
 
 
-@query(f"WITH RECURSIVE {WALK} SELECT host, CAST(sum(lapse) FILTER (edge = 'e1') AS DOUBLE) / sum(lapse) AS share FROM ints JOIN insts i USING (ti_id, host) WHERE i.is_complete GROUP BY host")
+@query(
+    f"""WITH RECURSIVE {MAIN}, i AS (SELECT CASE WHEN m.kind = 'thread' THEN a.role WHEN a.host = b.host THEN 'remote_l' ELSE 'remote_r' END AS part, b.us - a.us AS lapse
+   FROM main m JOIN paces a ON a.pace_id = m.from_id JOIN paces b ON b.pace_id = m.to_id),
+ w AS (SELECT sum(b.us - a.us) AS whole FROM (SELECT group_id, min_by(from_id, pos) AS f, max_by(to_id, pos) AS t FROM main WHERE from_id IS NOT NULL GROUP BY group_id) JOIN paces a ON a.pace_id = f JOIN paces b ON b.pace_id = t)
+ SELECT 'purchase' AS request_type, part, CAST(sum(lapse) AS BIGINT) AS total, CAST(sum(lapse) AS DOUBLE) / (SELECT whole FROM w) AS share FROM i GROUP BY part"""
+)
 def mainpath_share(spark, sf_dir):
-    p = paces(spark, sf_dir)
-    done = A.instances(p).where("is_complete").select("ti_id")
-    x = stats.thread_intervals(p).join(done, "ti_id", "left_semi")
-    return x.groupBy("host").agg(F.try_divide(F.sum(F.when(F.col("edge") == "e1", F.col("lapse"))), F.sum("lapse")).alias("share"))
+    p = paces(spark, sf_dir).select("pace_id", "us", "host", "role")
+    end = lambda side: p.select(*[F.col(c).alias(f"{side}_{c}") for c in p.columns]).withColumnRenamed(f"{side}_pace_id", f"{side}_id")
+    x = _main(spark, sf_dir).join(end("from"), "from_id").join(end("to"), "to_id")
+    x = x.select("group_id", "pos", "kind", F.lit("purchase").alias("request_type"), F.lit(True).alias("is_main"), (F.col("to_us") - F.col("from_us")).alias("lapse"), F.col("from_role").alias("component"), F.lit("inner").alias("int_type"), links.remote_type(F.lit(True), F.col("from_host"), F.col("to_host")).alias("remote_type"), "from_us", "to_us")
+    whole = x.groupBy("group_id", "request_type").agg((F.max_by("to_us", "pos") - F.min_by("from_us", "pos")).alias("lapse"))
+    return report.share_of_main_path(x.where("kind = 'thread'"), x.where("kind = 'link'"), whole)
 
 
-@query(f"WITH RECURSIVE {WALK} SELECT path, int_type, count(*) AS n FROM (SELECT path, 'thread' AS int_type FROM ints) GROUP BY ALL")
+@query(f"WITH RECURSIVE {TI_LINKS} SELECT 'purchase' AS request_type, 'td' AS kind, count(*) AS n FROM ints UNION ALL SELECT 'purchase', 'innerjoin', count(*) FROM tl")
 def kind_counts(spark, sf_dir):
-    return _intervals(spark, sf_dir).groupBy("path", F.lit("thread").alias("int_type")).agg(F.count("*").alias("n"))
+    p = paces(spark, sf_dir)
+    a, b = stats.thread_intervals(p).select(F.lit("thread").alias("int_type")), _ti_links(p).select(F.lit("inner").alias("int_type"))
+    return report.kind_counts(a.unionAll(b).withColumn("request_type", F.lit("purchase")))
 
 
 @query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM ints WHERE path = 'e1[n1]e2'")
@@ -656,9 +700,9 @@ def filter_byorder(spark, sf_dir):
     return Intervals(x).by_order(2).frame.select("pace_id", "lapse")
 
 
-@query(f"WITH RECURSIVE {WALK} SELECT pace_id, lapse FROM ints JOIN insts USING (ti_id) WHERE is_complete")
+@query(f"WITH RECURSIVE {MAIN} SELECT pace_id, lapse FROM ints JOIN main m ON m.from_id = pace_id AND m.kind = 'thread'")
 def mains(spark, sf_dir):
-    main = _bought(spark, sf_dir).where("ok").select(F.col("from_id").alias("pace_id"), F.lit(True).alias("is_main"))
+    main = _main(spark, sf_dir).where("kind = 'thread'").select(F.col("from_id").alias("pace_id"), F.lit(True).alias("is_main"))
     return Intervals(_intervals(spark, sf_dir).join(main, "pace_id", "left")).mains.frame.select("pace_id", "lapse")
 
 
@@ -728,3 +772,190 @@ def gantt_rows(spark, sf_dir):
 def kv_report(spark, sf_dir):
     n = table(spark, sf_dir, "events").count()
     return tracelog.report([("components", 1), ("edges", len(list(shop().iter_edges()))), ("events", n)], spark)
+
+
+# -- a declared workflow of two components ----------------------------------------------------------------------------
+@cache
+def market() -> Master:
+    """Clients (even users) and servers (odd users): a function, a loop, a shared edge, a refresh, three link rules, a call."""
+    m = Master("market", Registry().register("market", "client", "server"))
+    e1, f1, pay = m.build_func(10, "signup", "pay")
+    e2 = f1.build_endf("error")
+    e3, n1 = m.build_thread("client", 1, "view", "order")
+    e4, _ = n1.build(n1, "click")
+    _, n2 = n1.build(2, pay)
+    e6, n3 = n2.build(3, "purchase")
+    n1.build(n3, e6)
+    n3.set_state("BOUGHT")
+    e7, n20 = m.build_thread("server", 20, "view")
+    e8, _ = n20.build(21, "click")
+    e9, n30 = m.build_thread("server", 30, "signup")
+    e10, _ = n30.build(31, "error")
+    e9.refresh_var("k")
+    e4.join_one(e7, True, ["k"])
+    e3.join_one(e6, False, [], "pay").call_req(e9, True, [("peer", "target")], e10, True, [("target", "peer")])
+    e2.join_any(e8, True, ["k"])
+    return m
+
+
+def market_trace(spark: SparkSession, sf_dir: str) -> Trace:
+    t = trace(spark, sf_dir)
+    vars_ = F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("peer"), F.concat(F.lit("p"), (F.col("thread").cast("long") + 1).cast("string")))
+    t = t.withColumn("component", F.col("role")).withColumn("vars", vars_).drop("k", "value", "event_id", "role")
+    names = t.select("thread").distinct().select(F.concat(F.lit("p"), (F.col("thread").cast("long") + 1).cast("string")).alias("name"), (F.col("thread").cast("long") + 1).cast("string").alias("target"))
+    return Trace(t, market(), names)
+
+
+MARKET = (
+    LINES
+    + """,
+ mw AS (SELECT l.*, CASE WHEN role = 'client' THEN CASE WHEN keyword = 'view' THEN 1 ELSE 0 END ELSE CASE keyword WHEN 'view' THEN 11 WHEN 'signup' THEN 21 ELSE 0 END END AS s, 0 AS s0 FROM lines l WHERE lino = 1
+   UNION ALL
+   SELECT l.*, CASE WHEN l.role = 'client' THEN CASE WHEN w.s = 1 AND l.keyword = 'click' THEN 1 WHEN w.s = 1 AND l.keyword = 'signup' THEN 2 WHEN w.s = 1 AND l.keyword = 'purchase' THEN 4
+       WHEN w.s = 2 AND l.keyword = 'error' THEN 3 WHEN w.s = 3 AND l.keyword = 'purchase' THEN 4 WHEN l.keyword = 'view' THEN 1 ELSE 0 END
+     ELSE CASE WHEN w.s = 11 AND l.keyword = 'click' THEN 12 WHEN w.s = 21 AND l.keyword = 'error' THEN 22 WHEN l.keyword = 'view' THEN 11 WHEN l.keyword = 'signup' THEN 21 ELSE 0 END END, w.s
+   FROM mw w JOIN lines l ON l.thread = w.thread AND l.lino = w.lino + 1),
+ mp0 AS (SELECT *, 'events#' || target || '#' || thread || '#' || lino AS pace_id, keyword = 'view' OR role = 'server' AND keyword = 'signup' AS starts,
+   CASE role WHEN 'client' THEN CASE keyword WHEN 'view' THEN 'e3' WHEN 'click' THEN 'e4' WHEN 'signup' THEN 'e1' WHEN 'error' THEN 'e2' ELSE 'e6' END
+     ELSE CASE keyword WHEN 'view' THEN 'e7' WHEN 'click' THEN 'e8' WHEN 'signup' THEN 'e9' ELSE 'e10' END END AS edge FROM mw WHERE s > 0),
+ mp1 AS (SELECT *, 'events#' || target || '#' || thread || '#' || (sum(starts::INT) OVER (PARTITION BY thread ORDER BY lino) - 1)::BIGINT AS ti_id FROM mp0),
+ mv AS (SELECT *, sum((edge = 'e9')::INT) OVER (PARTITION BY target, k ORDER BY lino) AS cnt, max((edge = 'e9')::INT) OVER (PARTITION BY target ORDER BY lino) AS seen FROM mp1),
+ mpaces AS (SELECT *, CASE WHEN seen = 1 THEN cnt::BIGINT || ':' || k ELSE k::VARCHAR END AS vk, row_number() OVER (PARTITION BY ti_id ORDER BY lino) - 1 AS seq FROM mv),
+ r1 AS (SELECT 'e4>e7' AS rule, 'inner' AS kind, f.pace_id AS from_id, t.pace_id AS to_id, TRUE AS is_remote, NULL AS inp, NULL AS outp FROM
+   (SELECT *, row_number() OVER (PARTITION BY vk ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e4') f JOIN (SELECT *, row_number() OVER (PARTITION BY vk ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e7') t USING (vk, rn)),
+ r3 AS (SELECT 'e2>e8' AS rule, 'inner' AS kind, f.pace_id AS from_id, t.pace_id AS to_id, TRUE AS is_remote, NULL AS inp, NULL AS outp FROM
+   (SELECT *, row_number() OVER (PARTITION BY vk ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e2') f JOIN (SELECT * FROM mpaces WHERE edge = 'e8') t ON f.vk = t.vk AND f.rn = 1),
+ rq AS (SELECT f.pace_id AS from_id, t.pace_id AS to_id, f.us AS fu, t.us AS tu, f.pace_id || '>' || t.pace_id AS link_id, (f.target::BIGINT + 1)::VARCHAR AS peer FROM
+   (SELECT *, row_number() OVER (PARTITION BY target ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e3') f JOIN (SELECT *, row_number() OVER (PARTITION BY target ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e6') t USING (target, rn)),
+ cin AS (SELECT q.link_id, t.pace_id AS in_id FROM (SELECT *, row_number() OVER (PARTITION BY peer ORDER BY fu, link_id) AS rn FROM rq) q JOIN (SELECT *, row_number() OVER (PARTITION BY target ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e9') t ON t.target = q.peer AND t.rn = q.rn),
+ cout AS (SELECT q.link_id, t.pace_id AS out_id FROM (SELECT *, row_number() OVER (PARTITION BY peer ORDER BY tu, link_id) AS rn FROM rq) q JOIN (SELECT *, row_number() OVER (PARTITION BY target ORDER BY us, pace_id) AS rn FROM mpaces WHERE edge = 'e10') t ON t.target = q.peer AND t.rn = q.rn),
+ nest AS (SELECT q.*, in_id, out_id FROM rq q LEFT JOIN cin USING (link_id) LEFT JOIN cout USING (link_id)),
+ ml AS (SELECT rule, kind, from_id, to_id, is_remote FROM r1 UNION ALL SELECT rule, kind, from_id, to_id, is_remote FROM r3
+   UNION ALL SELECT 'e3>e6', 'request', from_id, to_id, FALSE FROM nest WHERE in_id IS NULL OR out_id IS NULL
+   UNION ALL SELECT 'e3>e6', 'cross_in', from_id, in_id, TRUE FROM nest WHERE in_id IS NOT NULL AND out_id IS NOT NULL
+   UNION ALL SELECT 'e3>e6', 'nested', in_id, out_id, FALSE FROM nest WHERE in_id IS NOT NULL AND out_id IS NOT NULL
+   UNION ALL SELECT 'e3>e6', 'cross_out', out_id, to_id, TRUE FROM nest WHERE in_id IS NOT NULL AND out_id IS NOT NULL),
+ mlinks AS (SELECT ml.*, a.ti_id AS from_ti, b.ti_id AS to_ti, a.host AS from_host, b.host AS to_host, a.role AS from_component, b.role AS to_component, a.target AS from_target, b.target AS to_target,
+   CASE WHEN NOT is_remote THEN 'local' WHEN a.host <> b.host THEN 'remote' ELSE 'local_remote' END AS remote_type FROM ml JOIN mpaces a ON a.pace_id = from_id JOIN mpaces b ON b.pace_id = to_id)"""
+)
+
+
+@query(f"WITH RECURSIVE {MARKET} SELECT pace_id, ti_id, edge, vk AS k FROM mpaces")
+def workflow_paces(spark, sf_dir):
+    """Paces of a declared workflow, a recycled variable versioned."""
+    return market_trace(spark, sf_dir).paces.select("pace_id", "ti_id", "edge", F.element_at("vars", F.lit("k")).alias("k"))
+
+
+@query(f"WITH RECURSIVE {MARKET} SELECT rule, kind, from_id, to_id, remote_type FROM mlinks")
+def workflow_links(spark, sf_dir):
+    """Its links: first in first out, to any, and requests whose calls are nested."""
+    return market_trace(spark, sf_dir).links.select("rule", "kind", "from_id", "to_id", "remote_type")
+
+
+@query(
+    f"""WITH RECURSIVE {MARKET}, w(rule, f, t) AS (VALUES ('e4>e7', 'e4', 'e7'), ('e3>e6', 'e3', 'e6'), ('e2>e8', 'e2', 'e8')),
+ whole AS (SELECT rule, from_id, to_id FROM ml WHERE kind = 'inner' UNION ALL SELECT 'e3>e6', from_id, to_id FROM rq)
+ SELECT 'from' AS side, pace_id, rule AS rules FROM mpaces JOIN w ON f = edge WHERE pace_id NOT IN (SELECT from_id FROM whole WHERE whole.rule = w.rule)
+ UNION ALL SELECT 'to', pace_id, rule FROM mpaces JOIN w ON t = edge WHERE pace_id NOT IN (SELECT to_id FROM whole WHERE whole.rule = w.rule)"""
+)
+def workflow_misses(spark, sf_dir):
+    """Paces that should be linked and are not, with the rules that they miss."""
+    return market_trace(spark, sf_dir).misses.select("side", "pace_id", "rules")
+
+
+@query(f"WITH RECURSIVE {MARKET} SELECT from_ti AS ti_id, 'joins' AS direction, kind, to_ti AS peer_ti, from_id, to_id FROM mlinks WHERE from_ti <> to_ti UNION ALL SELECT to_ti, 'joined', kind, from_ti, from_id, to_id FROM mlinks WHERE from_ti <> to_ti")
+def link_adjacency(spark, sf_dir):
+    return links.adjacency(market_trace(spark, sf_dir).links)
+
+
+@query(f"WITH RECURSIVE {MARKET} SELECT to_id, count(*) AS n FROM mlinks GROUP BY to_id HAVING count(*) > 1")
+def many_into_one(spark, sf_dir):
+    return links.many_into_one(market_trace(spark, sf_dir).links)
+
+
+@query(f"WITH RECURSIVE {MARKET}, per AS (SELECT from_component, to_component, count(*) AS n FROM mlinks GROUP BY from_target, to_target, from_component, to_component) SELECT from_component, to_component, avg(n) AS mean_links FROM per GROUP BY ALL")
+def component_links(spark, sf_dir):
+    return report.links_per_target_pair(market_trace(spark, sf_dir).links)
+
+
+@query(f"WITH RECURSIVE {MARKET}, per AS (SELECT from_component, to_component, count(*) AS n FROM mlinks WHERE remote_type = 'remote' GROUP BY from_target, to_target, from_component, to_component) SELECT from_component, to_component, avg(n) AS mean_links FROM per GROUP BY ALL")
+def component_links_remote(spark, sf_dir):
+    return report.links_per_target_pair(market_trace(spark, sf_dir).links, remote_only=True)
+
+
+@query(f"WITH RECURSIVE {MARKET} SELECT kind, remote_type, CASE kind WHEN 'nested' THEN 'nested' WHEN 'request' THEN 'interface' ELSE remote_type END AS colour, count(*) AS n FROM mlinks GROUP BY ALL")
+def colour_classes(spark, sf_dir):
+    x = market_trace(spark, sf_dir).links
+    return x.groupBy("kind", "remote_type", report.colour_class(F.col("kind"), F.col("remote_type"), F.col("from_component")).alias("colour")).agg(F.count("*").alias("n"))
+
+
+# -- reports ----------------------------------------------------------------------------------------------------------
+@query(f"SELECT o_orderpriority AS request_type, 'o_custkey' AS size, {_FIVE.format('o_custkey')} FROM orders GROUP BY 1")
+def sizes_by_type(spark, sf_dir):
+    return report.sizes_by_type(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "request_type"), ("o_custkey",))
+
+
+@query(
+    f"""WITH {SPANS}, m AS (SELECT *, max(to_us) OVER (PARTITION BY flag ORDER BY from_us, to_us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM iv),
+ g AS (SELECT flag, count(*) AS n, CAST(sum(greatest(0, to_us - greatest(from_us, coalesce(pm, from_us)))) AS BIGINT) AS busy, CAST(sum(to_us - from_us) AS BIGINT) AS added, max(to_us) - min(from_us) AS span FROM m GROUP BY flag)
+ SELECT flag, n, busy, added, span, added / n AS mean, busy / n AS ratio FROM g"""
+)
+def group_stats(spark, sf_dir):
+    return report.group_stats(_orders_as_intervals(spark, sf_dir), ["flag"])
+
+
+@query("SELECT o_orderpriority, CASE WHEN min(o_custkey) = max(o_custkey) THEN printf('=%.2f', min(o_custkey)::DOUBLE) ELSE printf('%.2f[%.2f|%.2f|%.2f]%.2f', min(o_custkey)::DOUBLE, quantile_cont(o_custkey, 0.25), quantile_cont(o_custkey, 0.5), quantile_cont(o_custkey, 0.75), max(o_custkey)::DOUBLE) END AS dist FROM orders GROUP BY 1")
+def dist_text(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(report.dist("o_custkey").alias("dist"))
+
+
+@query(f"WITH {LINES}, m AS (SELECT thread, lino AS mark FROM lines WHERE keyword = 'error' AND lino % 10 = 0) SELECT m.thread, mark, CAST(lino - mark AS INTEGER) AS \"offset\", keyword FROM m JOIN lines l ON l.thread = m.thread AND lino BETWEEN mark - 3 AND mark + 6")
+def line_context(spark, sf_dir):
+    t = trace(spark, sf_dir)
+    return report.context(t, t.where("keyword = 'error' and lino % 10 = 0")).select("thread", "mark", "offset", "keyword")
+
+
+@query(f"WITH {LINES},{_zip('view', 'click')} SELECT from_id, to_id, 'view[j]click: view -> click' AS \"desc\", from_host || ' -> ' || to_host AS hosts FROM linked")
+def described_links(spark, sf_dir):
+    x = _hosted(spark, sf_dir).withColumn("path", stats.path(F.lit("view"), F.lit("j"), F.lit("click"))).withColumn("from_keyword", F.lit("view")).withColumn("to_keyword", F.lit("click"))
+    return report.described(x).select("from_id", "to_id", "desc", "hosts")
+
+
+@query("SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS host, event_type AS kw FROM events")
+def file_var_merge(spark, sf_dir):
+    """Variables of the file beside those of its lines."""
+    e = table(spark, sf_dir, "events")
+    host = (F.col("user_id") % 4).cast("string")
+    both = tracelog.merge_vars(F.create_map(F.lit("host"), host), tracelog.purge_empty(F.create_map(F.lit("kw"), F.col("event_type"), F.lit("none"), F.lit(""))))
+    return e.select("event_id", both.alias("v")).select("event_id", F.element_at("v", "host").alias("host"), F.element_at("v", "kw").alias("kw"))
+
+
+@query("SELECT CAST(user_id % 10 AS VARCHAR) AS target, count(DISTINCT user_id % 20) AS aliases FROM events GROUP BY 1 HAVING count(DISTINCT user_id % 20) > 1")
+def ambiguous_names(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return tracelog.ambiguous_names(e.select((F.col("user_id") % 10).cast("string").alias("target"), (F.col("user_id") % 20).cast("string").alias("alias")))
+
+
+@query(f"WITH {LINES} SELECT thread, lino, max((k < 50)::INT) OVER (PARTITION BY thread ORDER BY lino) = 1 AS visible FROM lines")
+def env_precheck(spark, sf_dir):
+    t = trace(spark, sf_dir).withColumn("v", F.when(F.col("k") < 50, F.col("k")))
+    return variables.visible_from(t, "thread", "v", ["lino"]).select("thread", "lino", "visible")
+
+
+@query("SELECT * FROM (VALUES ('gone')) t(component)")
+def missing_components(spark, sf_dir):
+    t = trace(spark, sf_dir).withColumn("component", F.col("role"))
+    return tracelog.missing_components(t, spark.createDataFrame([("client",), ("server",), ("gone",)], "component string"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM orders GROUP BY 1")
+def dist_by_key(spark, sf_dir):
+    return Requests(table(spark, sf_dir, "orders")).distribution("o_orderpriority")
+
+
+@query(
+    f"""WITH RECURSIVE {WALK}, x AS (SELECT min(from_us) AS start, max(to_us) AS "end", max(to_us) AS last FROM insts), r AS (SELECT unnest(['start', 'end', 'last']) AS mark, unnest([start, "end", last]) AS us FROM x)
+ SELECT mark, us, printf('%02d:%02d:%02d.%06d', (us // 3600000000) % 24, (us // 60000000) % 60, (us // 1000000) % 60, us % 1000000) AS time FROM r"""
+)
+def trace_span(spark, sf_dir):
+    return clock.span(A.instances(paces(spark, sf_dir)).withColumn("last_us", F.col("to_us")))

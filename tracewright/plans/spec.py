@@ -53,12 +53,10 @@ class Edge:
         if self.links and self.links[0].strategy != strategy:
             raise SpecError("an edge has one strategy")
         pairs = [(s, s) if isinstance(s, str) else tuple(s) for s in schema]
-        names = {x for p in pairs for x in p}
-        if "thread" in names or remote and names & {"target", "host"} and any(a == b for a, b in pairs if a in ("target", "host")):
-            raise SpecError("a link may not be keyed by thread, nor a remote one by its own target or host")
-        if not remote:
-            pairs = [("target", "target"), ("host", "host"), *pairs]
-        link = Link(f"{self.name}>{to.name}", strategy, self, to, remote, pairs, request)
+        pairs = _keyed(pairs, remote)
+        master = self.source.graph.master
+        master.ranks += 1
+        link = Link(f"{self.name}>{to.name}", strategy, self, to, remote, pairs, request, rank=master.ranks)
         self.links.append(link)
         return link
 
@@ -72,6 +70,13 @@ class Edge:
         return self._link("ANY", to, remote, schema, request)
 
 
+def _keyed(pairs: list[tuple[str, str]], remote: bool) -> list[tuple[str, str]]:
+    """The schema of a link; a local one is keyed by target and host as well."""
+    if "thread" in {x for p in pairs for x in p} or remote and any(a == b and a in ("target", "host") for a, b in pairs):
+        raise SpecError("a link may not be keyed by thread, nor a remote one by its own target or host")
+    return pairs if remote else [("target", "target"), ("host", "host"), *pairs]
+
+
 @dataclass
 class Link:
     """A first-in-first-out link rule between two edges; `call` nests another request's path inside."""
@@ -83,15 +88,27 @@ class Link:
     remote: bool
     schema: list[tuple[str, str]]
     request: str | None = None
-    call: tuple | None = None
+    call: tuple[Call, Call] | None = None
+    rank: int = 0
 
     def call_req(self, enter: Edge, enter_remote: bool, enter_schema, leave: Edge, leave_remote: bool, leave_schema) -> Link:
+        """The request is served by another one, which is entered at one edge and left at another."""
         if self.request is None or self.call is not None:
             raise SpecError("only a request link calls a request, and only one")
-        self.call = (enter, enter_remote, list(enter_schema), leave, leave_remote, list(leave_schema))
+        both = [[(s, s) if isinstance(s, str) else tuple(s) for s in x] for x in (enter_schema, leave_schema)]
+        self.call = (Call(enter, enter_remote, _keyed(both[0], enter_remote)), Call(leave, leave_remote, _keyed(both[1], leave_remote)))
         return self
 
 
+@dataclass
+class Call:
+    """One side of a nested call: the callee's edge, and the schema from caller to callee (entering) or back (leaving)."""
+
+    edge: Edge
+    remote: bool
+    schema: list[tuple[str, str]]
+
+
 class Node:
     def __init__(self, graph, name: str):
         self.graph, self.name = graph, name
@@ -99,17 +116,27 @@ class Node:
         self.end = self.request_type = self.state = self.mark = None
 
     def build(self, to: Node | int, payload: str | Function | Edge) -> tuple[Edge, Node]:
-        """An edge to a new node (an int id), or to a node that is there (a loop or a merge); an edge may be shared."""
-        node = to if isinstance(to, Node) else self.graph.node(to)
+        """An edge to a new node (an int id), or to a node that is there (a loop or a merge); an edge may be shared.
+
+        A shared edge stays one edge, with its refreshes and links, and leads to its own node, given or named. An edge
+        into another thread graph of the same component makes one graph of the two.
+        """
         if isinstance(payload, Edge):
-            keyword, call, name = payload.keyword, payload.call, payload.name
+            edge, node = payload, payload.target
+            if to is not node and not (isinstance(to, int) and node.name == f"{node.graph.prefix}{to}"):
+                raise SpecError(f"edge {edge.name} leads to {node.name}, not to {to if isinstance(to, int) else to.name}")
         else:
-            keyword, call, name = (None, payload, None) if isinstance(payload, Function) else (payload, None, None)
-        edge = Edge(name or self.graph.master.edge_name(), self, node, keyword, call)
+            node = to if isinstance(to, Node) else self.graph.node(to)
+            keyword, call = (None, payload) if isinstance(payload, Function) else (payload, None)
+            edge = Edge(self.graph.master.edge_name(), self, node, keyword, call)
         new = edge.first_keyword()
         for e in self.edges:  # an earlier keyword inside the new one would always win; the other way round is legal
             if e.first_keyword() in new:
                 raise SpecError(f"{e.first_keyword()!r} hides {new!r} at {self.name}")
+        if node.graph is not self.graph:
+            if not isinstance(self.graph, ThreadGraph) or not isinstance(node.graph, ThreadGraph):
+                raise SpecError(f"{self.name} and {node.name} stand in graphs that do not merge")
+            self.graph.merge(node.graph)
         self.edges.append(edge)
         return edge, node
 
@@ -121,7 +148,7 @@ class Node:
         return self
 
     def set_state(self, state: str, is_mark: bool = False) -> Node:
-        if self is self.graph.start:
+        if self is self.graph.start or self in getattr(self.graph, "starts", ()):
             raise SpecError("a start node has no state")
         if is_mark:
             self.mark = state
@@ -131,6 +158,8 @@ class Node:
 
 
 class _Graph:
+    start: Node
+
     def __init__(self, master: Master, prefix: str):
         self.master, self.prefix = master, prefix
         self.nodes: dict[str, Node] = {}
@@ -167,6 +196,8 @@ class ThreadGraph(_Graph):
         """One graph of two of the same component; their starts are tried in order."""
         if other.component != self.component:
             raise SpecError("graphs of two components do not merge")
+        for n in [*other.nodes.values(), *other.starts]:
+            n.graph = self
         self.nodes |= other.nodes
         self.starts += other.starts
         self.master.graphs.remove(other)
@@ -180,7 +211,7 @@ class Master:
         self.name, self.registry = name, registry
         self.graphs: list[ThreadGraph] = []
         self.functions: dict[str, Function] = {}
-        self._edges = 0
+        self._edges = self.ranks = 0
 
     def edge_name(self) -> str:
         self._edges += 1
@@ -224,11 +255,21 @@ class Master:
             yield f.end_node
 
     def iter_edges(self):
+        """Every edge once, shared ones too."""
+        seen = set()
         for n in self.iter_nodes():
-            yield from n.edges
+            for e in n.edges:
+                if e.name not in seen:
+                    seen.add(e.name)
+                    yield e
 
     def links(self) -> list[Link]:
-        return [link for e in self.iter_edges() for link in e.links]
+        """All link rules in the order of their declaration."""
+        return sorted((link for e in self.iter_edges() for link in e.links), key=lambda link: link.rank)
+
+    def refreshes(self) -> dict[str, list[str]]:
+        """Edge name to the variables that it gives a new version."""
+        return {e.name: e.refresh for e in self.iter_edges() if e.refresh}
 
     # -- compilation ---------------------------------------------------------------------------------------------
     def compile(self) -> Automaton:

@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def scan(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("log",), skip: str | None = None) -> DataFrame:
-    """(source, path, lino, line): every line of the folder's files, numbered from 1 in its file; not recursive.
+def files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("log",)) -> list[tuple[str, str]]:
+    """(path, name) of the folder's files with these extensions, sorted; not recursive, whatever store the folder is in."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", _glob(extensions)).load(folder)
+    return sorted((r["path"], r["path"].rsplit("/", 1)[-1]) for r in found.select("path").collect())
+
+
+def _glob(extensions: tuple[str, ...]) -> str:
+    return "*." + extensions[0] if len(extensions) == 1 else "*.{" + ",".join(extensions) + "}"
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, block, line) with the line's number in its block, from 1: a task reads the lines of a block in order."""
+    last, n = None, 0
+    for b in batches:
+        numbers = []
+        for at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            last, n = at, n + 1 if at == last else 1
+            numbers.append(n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers, pa.int64())], names=["path", "block", "line", "n"])
 
-    A file is read whole by one task, since a line's number needs the lines before it. skip: a regular expression for
-    names that are left out.
+
+def scan(spark: SparkSession, folder: str | list[str], extensions: tuple[str, ...] = ("log",), skip: str | None = None) -> DataFrame:
+    """(source, path, lino, line): the lines of the folder's files (or of the files given), numbered from 1 in their file.
+
+    Empty lines count, and are left out. Not recursive. A file is read in blocks, by many tasks if it is large: a line's
+    number is that in its block, plus the lines of the blocks before, which are counted first. skip: a regular expression
+    for source names that are left out.
     """
-    glob = "*." + extensions[0] if len(extensions) == 1 else "*.{" + ",".join(extensions) + "}"
-    text = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    x = text.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("source"), F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.text(folder) if isinstance(folder, list) else spark.read.option("pathGlobFilter", _glob(extensions)).text(folder)
+    path = F.col("_metadata.file_path")
+    x = text.select(path.alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    source = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     if skip:
-        x = x.where(~F.col("source").rlike(skip))
-    return x.select("source", "path", F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line")).select("source", "path", (F.col("pos") + 1).cast("long").alias("lino"), "line").where("line <> ''")
+        x = x.where(~source.rlike(skip))
+    sizes = x.groupBy("path", "block").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("path", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = x.mapInArrow(_counted, "path string, block long, line string, n long").where("line <> ''").join(sizes, ["path", "block"])
+    return lines.select(source.alias("source"), "path", (F.col("before") + F.col("n")).alias("lino"), "line")
 
 
 def seconds_of_day(clock: Column) -> Column:
@@ -65,6 +94,15 @@ def merge_vars(file_vars: Column, line_vars: Column) -> Column:
 
 
 REQUIRED = ("thread", "keyword", "time", "seconds")
+#: What a file as a whole cannot tell of its lines.
+FORBIDDEN = ("request", "seconds", "keyword", "time")
+
+
+def check_file_vars(vars_: dict[str, str]) -> dict[str, str]:
+    """The variables of a file, if they set nothing that only a line can set."""
+    if bad := [k for k in FORBIDDEN if k in vars_]:
+        raise ValueError(f"a file may not set {', '.join(bad)}")
+    return vars_
 
 
 def check_lines(lines: DataFrame) -> DataFrame:
