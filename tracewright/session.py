@@ -6,13 +6,13 @@ import atexit
 import gc
 import os
 import shutil
-import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -40,17 +40,16 @@ def local_session(name: str = "tracewright", cpus: int | str = 8, **conf: str) -
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to executors whose Python path lacks it (a no-op where it is importable already)."""
-    repo = str(_ROOT.parent)
-    there = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if repo in there or os.getcwd() == repo or getattr(spark.sparkContext, "_tracewright_shipped", False):
+    """Send this package to the executors of a cluster, once a session; in local mode they share the driver's Python path."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster") or getattr(sc, "_tracewright_shipped", False):
         return
     out = Path(tempfile.mkdtemp()) / "tracewright.zip"
     with zipfile.ZipFile(out, "w") as z:
         for f in _ROOT.rglob("*.py"):
             z.write(f, f.relative_to(_ROOT.parent))
-    spark.sparkContext.addPyFile(str(out))
-    spark.sparkContext._tracewright_shipped = True  # type: ignore[attr-defined]
+    sc.addPyFile(str(out))
+    sc._tracewright_shipped = True  # type: ignore[attr-defined]
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -70,14 +69,37 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder; it goes when the application's JVM ends."""
+    sc = spark.sparkContext
+    own = getattr(sc, "_tracewright_dir", None)
+    if own is None:
+        own = f"{work_dir(spark)}/tracewright-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._tracewright_dir = own  # type: ignore[attr-defined]
+    return own
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids and hashes that may be sent to every executor (16 MB at 16 bytes each).
+FEW = 1_000_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A staged table of narrow rows, marked to be broadcast if it is counted to have `most` rows or fewer; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files whose results have been written."""
     gc.collect()
@@ -87,8 +109,3 @@ def release(spark: SparkSession) -> None:
 def partitions(spark: SparkSession) -> int:
     """The shuffle width that the cluster set."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def python_version() -> str:
-    """Interpreter version, for reports."""
-    return sys.version.split()[0]
