@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import release, stage
+from tracewright.session import FEW, few, release, stage
 
 #: Distinct digests to a bucket, and so to one filter.
 BUCKET_KEYS = 200_000
@@ -299,7 +299,7 @@ def without_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame
     snapshot = Snapshot.of(reps.where("old").drop("old", "best"), bucket_keys)
     same = snapshot.matches(reps.where(~F.coalesce("old", F.lit(False))).drop("best"))
     old_stays = F.col("new_keep").isNull() | F.coalesce(F.col("old_keep") > F.col("new_keep"), F.lit(False))
-    lost = same.select("digest", "chk", (~old_stays).alias("lost_old"))
+    lost = few(stage(same.select("digest", "chk", (~old_stays).alias("lost_old")), "lost"), FEW // 4)  # rows of 41 bytes
     is_old = F.coalesce("old", F.lit(False)).alias("lost_old")
     kept = reps.select("*", is_old).join(lost, ["digest", "chk", "lost_old"], "left_anti")
     out = kept.select("best.rest", "norm", "best.capitals").mapInArrow(_unfolded, f"rest {kind}, text string")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import simhash
 from tracewright.operators.components import contract
-from tracewright.session import partitions, release, stage
+from tracewright.session import few, partitions, release, stage
 
 WIDTH, LEAST = 5, 0.8
 #: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
@@ -229,8 +229,8 @@ def _pairs(centres: int | None, least: float):
 def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = p.select("node", "th").join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th"))
-    sets = d.join(texts.select("th"), "th", "left_semi").select("text").mapInArrow(_whole_sets(width), "node long, s array<long>")
+    texts = stage(p.select("node", "th").join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th"), "texts")
+    sets = d.join(few(texts), "th", "left_semi").select("text").mapInArrow(_whole_sets(width), "node long, s array<long>")
     sets = stage(sets.dropDuplicates(["node"]), "ends")
     both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -326,7 +326,7 @@ def without_near_copies(docs: DataFrame, width: int = WIDTH, least: float = LEAS
     own = F.struct("*").alias("row")
     rows = docs.select(own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("row", id_(F.col("doc_id")).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_th"))
-    left = rows.join(gone, ["_id", "_none", "_th"], "left_anti")
+    left = rows.join(few(gone), ["_id", "_none", "_th"], "left_anti")
     again = of.join(gone.select(F.col("_id").alias("doc_id"), F.col("_th").alias("th")), ["doc_id", "th"], "left_anti").groupBy("doc_id", "th").count().where("count > 1")
     if not again.isEmpty():
         left = left.groupBy("_id", "_none", "_th").agg(F.first("row").alias("row"))
