@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Marks a word's end inside this module; the byte alphabet has no such character.
 _END = "\0"
-#: Words remembered by a worker; beyond, the memory starts anew.
-_REMEMBERED = 1_000_000
+#: Characters of the words remembered by a worker; beyond, the memory starts anew. Longer words are not remembered.
+_REMEMBERED, _LONGEST = 8_000_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -39,16 +39,20 @@ def byte_alphabet() -> list[str]:
 
 
 class _Known(dict):
-    """Ids of words seen before; a bounded memory."""
+    """Ids of words seen before; a memory bounded by their length, not their number."""
 
     def __init__(self, of):
         super().__init__()
-        self.of = of
+        self.of, self.size = of, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        ids = self[word] = self.of(word)
+        ids = self.of(word)
+        if len(word) <= _LONGEST:
+            if self.size >= _REMEMBERED:
+                self.clear()
+                self.size = 0
+            self[word] = ids
+            self.size += len(word)
         return ids
 
 
