@@ -381,13 +381,14 @@ def moved_entities(docs: DataFrame, key: bytes, rounds: int = 200) -> DataFrame:
     found = docs.select(F.col("text").cast("string")).mapInArrow(_found, "kind string, entity string, evidence long")
     found = found.groupBy("kind", "entity").agg(F.sum("evidence").alias("evidence"))
     found = stage(found.mapInArrow(_deviating, "kind string, entity string, gender string"), "entities")
-    real = found.select("kind", F.col("entity").alias("new"), F.lit(True).alias("real"))
+    space = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind")).alias("space")
+    real = found.select(space, F.col("entity").alias("new")).distinct().withColumn("real", F.lit(True))
     state, settled = found.withColumn("attempt", F.lit(0)), None
     for _ in range(rounds):
         new = stage(state.mapInArrow(_replaced(key), "kind string, entity string, gender string, attempt int, new string, fixed boolean"), "replaced")
         # of contestants the least entity takes a replacement; none may name a real entity, or one that is taken already
         owner = new.groupBy("kind", "new").agg(F.min("entity").alias("owner"))
-        judged = new.join(owner, ["kind", "new"]).join(real, ["kind", "new"], "left")
+        judged = new.join(owner, ["kind", "new"]).withColumn("space", space).join(real, ["space", "new"], "left")
         bad = (F.col("owner") != F.col("entity")) | F.coalesce("real", F.lit(False))
         if settled is not None:
             judged = judged.join(settled.select("kind", "new", F.lit(True).alias("taken")), ["kind", "new"], "left")
