@@ -255,18 +255,21 @@ def _inputs(x: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
-    """Weights by Newton steps with a small ridge around a prior under which one sure hit is enough."""
+    """Weights by Newton steps, halved until they help, with a small ridge around a prior under which one sure hit is enough."""
     prior = np.array([-3.0, 4.5, 0.5, 2.0, -0.5])
     w = prior.copy()
     if not len(y) or y.min() == y.max():
         return w.tolist()
     z = _inputs(x)
-    for _ in range(25):
+    loss = lambda v: float(np.logaddexp(0, z @ v).sum() - y @ (z @ v) + ridge / 2 * ((v - prior) ** 2).sum())
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (p - y) + ridge * (w - prior)
         h = (z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
-        w -= step
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
     return w.tolist()
