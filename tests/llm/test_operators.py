@@ -212,13 +212,13 @@ def test_toxicity_fit_keeps_long_texts_and_rows_pass_whole(spark):
     rng = random.Random(2)
     filler = [f"{a}{b}" for a in ("bra", "keno", "timi", "lost") for b in ("st", "ll", "nd", "rk")]
     long_ = lambda *extra: " ".join([*rng.choices(filler, k=9000), *extra])
-    rows = [(i, long_("grumbold") if i % 2 else long_()) for i in range(36)] + [(100, "grumbold"), (100, "kenost"), (None, "grumbold now"), (None, None)]
+    rows = [(i, long_("grumbold") if i % 4 == 0 else long_()) for i in range(160)] + [(1000, "grumbold"), (1000, "kenost"), (None, "grumbold now"), (None, None)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(36)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(160)], "doc_id long, quality int, toxic int")
     kept = toxicity.without_toxic(d, labels)
     assert kept.columns == d.columns
-    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id = 100").collect()) == [(100, "kenost")] and [r.text for r in kept.where("doc_id is null").collect()] == [None]
-    assert kept.where("doc_id < 36").count() == 18
+    assert sorted((r.doc_id, r.text) for r in kept.where("doc_id = 1000").collect()) == [(1000, "kenost")] and [r.text for r in kept.where("doc_id is null").collect()] == [None]
+    assert sorted(r.doc_id for r in kept.where("doc_id < 1000").collect()) == [i for i in range(160) if i % 4]
 
 
 # -- language -----------------------------------------------------------------------------------------------------------
