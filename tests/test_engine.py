@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tracewright.operators import automaton as A
 from tracewright.operators import clock, links, report, requests
 from tracewright.operators.components import contract
+from tracewright.plans import frames
+from tracewright.plans.api import Intervals, Requests
 from tracewright.plans.engine import Trace
 from tracewright.plans.spec import Master, Registry, SpecError
 from tracewright.sources import tracelog
@@ -76,6 +78,23 @@ def test_a_nested_call_leads_the_main_path_through_the_callee(spark):
     assert {r.section for r in detail} == {"request", "vars", "interval"}
 
 
+def test_the_tables_of_a_trace(spark):
+    t = Trace(_lines(spark, _CALL), _calling())
+    assert {(r.target, r.component, r.host) for r in frames.targets(t).collect()} == {("c:1", "client", "h1"), ("s:1", "server", "h2"), ("d:1", "store", "h3")}
+    joins = {(r.request, r.int_type): r for r in frames.join_intervals(t).collect()}
+    r = joins["order1", "inner"]
+    assert (r.path, r.desc, r.hosts, r.order, r.is_main, r.from_time, r.to_thread) == ("e2[j_e2>e4]e4", "e2[j_e2>e4]e4: send -> recv", "h1 -> h2", 1, True, "00:00:00.000020", "1")
+    assert abs(r.lapse - 1e-5) < 1e-12 and len(joins) == 4
+    threads = frames.thread_intervals(t).collect()
+    assert sorted((x.request, x.path) for x in threads if x.is_main) == [("order1", "e1[n1]e2"), ("order1", "e4[n10]e5"), ("save1", "e6[n20]e7"), ("save1", "e7[n21]e8")]
+    table = {x.request: x for x in frames.request_table(t).collect()}
+    assert (table["order1"].path, table["order1"].request_state, table["order1"].len_main_paces, table["save1"].len_paces) == ("e1[order]e3", "OK", 8, 2)
+    assert abs(table["order1"].lapse - 7e-5) < 1e-12 and table["order1"].last_time == "00:00:00.000080"
+    assert {(x.request, x.id) for x in frames.request_vars(t, ["id"]).collect()} == {("order1", "7"), ("save1", "7")}
+    with pytest.raises(ValueError, match="host"):
+        frames.request_vars(t, ["host", "id"])
+
+
 def test_a_call_that_is_not_left_stays_a_plain_request_link(spark):
     rows = [r for r in _CALL if r[4] != "leave"]
     t = Trace(_lines(spark, rows), _calling())
@@ -263,3 +282,19 @@ def test_csv_sink_appends(spark, tmp_path):
     for _ in range(2):
         tracelog.append_csv(df, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
+
+
+def test_chains_over_intervals_and_requests(spark):
+    rows = [("thread", "p1", "n1", 1, 5), ("thread", "p2", "n2", 1, 9), ("link", "p3", "q", 1, 2)]
+    x = Intervals(spark.createDataFrame(rows, "kind string, path string, int_name string, order int, lapse int"))
+    assert x.threads.one_kind().frame.count() == 2 and x.joins.one_kind().frame.count() == 1 and x.by_path("none").one_kind() is None
+    with pytest.raises(ValueError):
+        x.one_kind()
+    assert [r.int_name for r in x.names().collect()] == ["n1", "n2", "q"] and x.orders().count() == 1
+    assert x.longest().first().path == "p2" and x.shortest().first().path == "p3"
+    r = Requests(spark.createDataFrame([("a1", "a", {"k": "1"}, 3), ("a2", "a", {"k": "2", "l": "x"}, 4)], "request string, request_type string, vars map<string,string>, len_paces int"))
+    assert [q.request for q in r.by_kv("k", "2").frame.collect()] == ["a2"] and [q.key for q in r.keys().collect()] == ["k", "l"]
+    assert r.by_name("a1").count() == 1 and r.by_type("b").frame.count() == 0
+    with pytest.raises(KeyError):
+        r.by_name("zz")
+    assert r.distribution("len_paces").count() == 2 and r.distribution("len_paces", most=1).first().p50 == 3.5

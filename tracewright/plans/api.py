@@ -34,6 +34,13 @@ class Intervals:
     def threads(self) -> Intervals:
         return Intervals(self.frame.where("kind = 'thread'"))
 
+    def one_kind(self) -> Intervals | None:
+        """The intervals, if they are all of threads or all of links; None if there are none; ValueError if they are mixed."""
+        kinds = [r["kind"] for r in self.frame.select("kind").distinct().limit(3).collect()]
+        if len(kinds) > 1:
+            raise ValueError("thread and link intervals are mixed")
+        return self if kinds else None
+
     def by_path(self, path: str) -> Intervals:
         return Intervals(self.frame.where(F.col("path") == path))
 
@@ -43,6 +50,12 @@ class Intervals:
     def by_order(self, order: int) -> Intervals:
         return Intervals(self.frame.where(F.col("order") == order))
 
+    def names(self) -> DataFrame:
+        return self.frame.select("int_name").distinct().orderBy("int_name")
+
+    def orders(self) -> DataFrame:
+        return self.frame.select("order").distinct().orderBy("order")
+
     def paths(self) -> DataFrame:
         return self.frame.select("path").distinct().orderBy("path")
 
@@ -79,6 +92,10 @@ class Requests:
     def names(self) -> DataFrame:
         return self.frame.select("request").distinct().orderBy("request")
 
+    def keys(self) -> DataFrame:
+        """The variables' names."""
+        return self.frame.select(F.explode(F.map_keys("vars")).alias("key")).distinct().orderBy("key")
+
     def longest(self) -> DataFrame:
         return stats.extreme(self.frame.withColumn("lapse", F.col("last_us") - F.col("from_us")), "lapse", "request")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators import automaton as A
 from tracewright.operators import clock, links, report, requests, stats, variables, workflow
+from tracewright.plans import frames
 from tracewright.plans.api import Intervals, Requests
 from tracewright.plans.engine import Trace
 from tracewright.plans.spec import Automaton, Master, Registry
@@ -959,3 +960,8 @@ def dist_by_key(spark, sf_dir):
 )
 def trace_span(spark, sf_dir):
     return clock.span(A.instances(paces(spark, sf_dir)).withColumn("last_us", F.col("to_us")))
+
+
+@query(f"WITH {LINES} SELECT DISTINCT target, role AS component, host FROM lines")
+def frame_targets(spark, sf_dir):
+    return frames.targets(market_trace(spark, sf_dir))
