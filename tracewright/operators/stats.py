@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.session import few, stage
+
 
 def thread_intervals(paces: DataFrame) -> DataFrame:
     """Intervals between consecutive paces of an instance: n paces, n - 1 intervals."""
@@ -59,12 +61,13 @@ def steps(df: DataFrame, by: list[str], lo: str = "from_us", hi: str = "to_us")
 def aligned(stepped: DataFrame, series: str, bucket: str | None = None) -> DataFrame:
     """Several step functions at each other's x, carried forward (0 before a series begins).
 
-    bucket: a column under which functions are aligned, so that no window spans the whole table.
+    The result has a row for each x and series. The series are sent about if they are counted to be few. bucket: a column
+    under which functions are aligned, so that no window spans the whole table.
     """
     by = [bucket] if bucket else []
     x = stepped.select(*by, "x").distinct()
     s = stepped.select(*by, series).distinct()
-    grid = x.join(s, by) if by else x.withColumn("_", F.lit(1)).join(F.broadcast(s.withColumn("_", F.lit(1))), "_").drop("_")
+    grid = x.join(s, by) if by else x.withColumn("_", F.lit(1)).join(few(stage(s, "series").withColumn("_", F.lit(1))), "_").drop("_")
     w = Window.partitionBy(*by, series).orderBy("x")
     got = grid.join(stepped, [*by, series, "x"], "left")
     return got.withColumn("level", F.coalesce(F.last("level", ignorenulls=True).over(w), F.lit(0)))
