@@ -5,9 +5,9 @@ three bits are proposed, and those of similarity t or more are linked. That sett
 cheaply, but not all: pairs of similarity 0.8 differ in ten bits of 64 on average, and covering so many takes thousands
 of tables. So the rest is found by prefix filtering. Two sets of similarity t or more share at least t of either set, so
 whatever the order of all shingles, the first n - ceil(t n) + 1 shingles of each have one in common. Documents meet in
-the buckets of those shingles; pairs that are linked by now are left out, and those that their sizes, their positions, or,
-in larger buckets, a bitmap of 256 parities rules out (two sets differ in as many shingles at least as their bitmaps in
-bits). The others are verified on the whole sets: every pair of similarity t is linked, with certainty, and no other.
+the buckets of those shingles; pairs that are linked by now are left out, and those that their sizes, their positions or
+their bitmaps of 1,024 parities rule out (two sets differ in as many shingles at least as their bitmaps in bits). The
+others are verified on the whole sets: every pair of similarity t is linked, with certainty, and no other.
 """
 
 from __future__ import annotations
@@ -53,13 +53,14 @@ def _node(s: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
 
 
-_BITS = ("b0", "b1", "b2", "b3")
-_PRINT = "doc_id long, th long, node long, fp long, b0 long, b1 long, b2 long, b3 long, cell long, n long"
+#: Numbers of a bitmap.
+_WORDS = 16
+_PRINT = "doc_id long, th long, node long, fp long, size int, bits array<long>, cell long, n long"
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
-    """256 parities of a set, as four numbers."""
-    odd = np.bincount(((s * _ODD) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    """1,024 parities of a set, as 16 numbers."""
+    odd = np.bincount(((s * _ODD) >> np.uint64(54)).astype(np.int64), minlength=64 * _WORDS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -76,12 +77,14 @@ def _printed(width: int):
             for h in sets:
                 np.add.at(full, _cell(h.view(np.int64)), 1)
             fp = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
-            bits = np.array([_bitmap(h) for h in sets], np.int64).reshape(-1, 4)
-            cols = [b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), pa.array(fp), *map(pa.array, np.ascontiguousarray(bits.T))]
+            bits = np.concatenate([np.empty(0, np.int64), *map(_bitmap, sets)])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * _WORDS), pa.array(bits))
+            cols = [b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), pa.array(fp), pa.array([len(h) for h in sets], pa.int32()), bits]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=names)
         top = np.argsort(-full, kind="stable")[:FULLEST]
         top = top[full[top] > 1]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(top), pa.int64()) for _ in names[:-2]), pa.array(top.astype(np.int64)), pa.array(full[top])], names=names)
+        types = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(top), t) for t in types), pa.array(top.astype(np.int64)), pa.array(full[top])], names=names)
 
     return run
 
@@ -161,14 +164,13 @@ def _pairs(centres: int | None, least: float):
             if got.any():
                 yield pairs(node[row[got]], node[to[got]])
 
-    def large(key, node, n, pos, root, *bits):
+    def large(key, node, n, pos, root, bits=None):
         """Members outside the largest group so far meet all others; those who have met all are done with the bucket."""
         if (root == root[0]).all():
             return
         if centres is None:
             yield rest((key, node, n, pos))
             return
-        bits = np.column_stack(bits).view(np.uint64)
         _, group, count = np.unique(root, return_inverse=True, return_counts=True)
         some = np.flatnonzero(group != count.argmax())[:centres]
         left = np.ones(len(node), bool)
@@ -176,7 +178,7 @@ def _pairs(centres: int | None, least: float):
             left[i] = False
             to = np.flatnonzero(left & (root != root[i]))
             to = to[may(n[i], pos[i], n[to], pos[to])]
-            differ = np.bitwise_count(bits[to] ^ bits[i]).sum(1)
+            differ = np.bitwise_count(bits[to] ^ bits[i]).sum(1, dtype=np.int64)
             to = to[differ <= n[i] + n[to] - 2 * needed(n[i], n[to])]
             if len(to):
                 yield pairs(np.full(len(to), node[i]), node[to])
@@ -211,7 +213,7 @@ def _pairs(centres: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            cols = [c.to_numpy() for c in b.columns]
+            cols = [c.flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
             if held is not None:
                 cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -226,8 +228,20 @@ def _pairs(centres: int | None, least: float):
     return run
 
 
+def _possible(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    of = p.select("node", "size", "bits").dropDuplicates(["node"])
+    for side in "ab":
+        some = some.join(of.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+    both = (F.col("na") + F.col("nb")).cast("double")
+    differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9)
+    return some.where(fits & (differ <= both - F.lit(2) * F.ceil(F.lit(least / (1 + least)) * both - F.lit(1e-9)))).select("a", "b")
+
+
 def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are alike."""
+    some = stage(_possible(some, p, least), "possible")
     ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = stage(p.select("node", "th").join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th"), "texts")
     sets = d.join(few(texts), "th", "left_semi").select("text").mapInArrow(_whole_sets(width), "node long, s array<long>")
@@ -262,14 +276,14 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int) -> tuple[Da
     top = kept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
     rows = d.select("text").mapInArrow(_prefixes(shared, width, least), "key long, node long, n int, pos int")
-    bits, many = p.select("node", *_BITS).dropDuplicates(["node"]), None
+    bits, many = p.select("node", "bits").dropDuplicates(["node"]), None
     while True:
         if roots is None:
             rows = rows.withColumn("root", F.col("node"))
         else:
             rows = rows.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         if many is not None:
-            rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", *_BITS)
+            rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", "bits")
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
         met = stage(dealt.mapInArrow(_pairs(many, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
         release(spark)
