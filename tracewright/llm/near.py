@@ -72,14 +72,15 @@ def _printed(width: int):
         names = [c.split()[0] for c in _PRINT.split(", ")]
         full = np.zeros(CELLS, np.int64)
         for b in batches:
-            all_ = [shingles(t.as_py(), width) for t in b.column(2)]
-            sets = [np.unique(h) for h in all_]
-            for h in sets:
-                np.add.at(full, _cell(h.view(np.int64)), 1)
-            fp = np.array([simhash.majority(h) for h in all_], np.uint64).view(np.int64)
-            bits = np.concatenate([np.empty(0, np.int64), *map(_bitmap, sets)])
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * _WORDS), pa.array(bits))
-            cols = [b.column(0), b.column(1), pa.array([_node(h) for h in sets], pa.int64()), pa.array(fp), pa.array([len(h) for h in sets], pa.int32()), bits]
+            n = len(b)
+            node, fp, size, bits = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.int32), np.empty((n, _WORDS), np.int64)
+            for k, t in enumerate(b.column(2)):  # a text's shingles are not kept beyond its turn
+                all_ = shingles(t.as_py(), width)
+                own = np.unique(all_)
+                np.add.at(full, _cell(own.view(np.int64)), 1)
+                node[k], fp[k], size[k], bits[k] = _node(own), simhash.majority(all_), len(own), _bitmap(own)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * _WORDS), pa.array(bits.ravel()))
+            cols = [b.column(0), b.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size), lists]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=names)
         top = np.argsort(-full, kind="stable")[:FULLEST]
         top = top[full[top] > 1]

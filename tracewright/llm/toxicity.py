@@ -276,13 +276,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> list[float]:
 
 
 def _scored(broadcast):
-    """(keep, held_out, text) to (keep, held_out, score, predicted); keep is any column that comes along."""
+    """(keep, held_out[, text]) to (keep, held_out, score, predicted); keep is any column that comes along, a row that holds its text if that is not given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, weights = broadcast.value
         lexicon, w = Lexicon(*parts), np.array(weights)
         for b in batches:
-            x = np.array([lexicon.features(t.as_py()) for t in b.column(2)]).reshape(-1, 3)
+            texts = b.column(2) if b.num_columns > 2 else b.column(0).field("text")
+            x = np.array([lexicon.features(t.as_py()) for t in texts]).reshape(-1, 3)
             p = 1 / (1 + np.exp(-np.clip(_inputs(x) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], names=["keep", "held_out", "score", "predicted"])
 
@@ -345,7 +346,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     Defined cases as in `score`. Rows pass through the scoring tasks, so nothing is joined or shuffled.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.select(F.struct("*").alias("row"), F.lit(False).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"), F.lit(False).alias("held_out"))
     kind = rows.schema["row"].dataType.simpleString()
     got = rows.mapInArrow(_model(d, labels, sample_rows), f"keep {kind}, held_out boolean, score double, predicted int")
     return got.where("predicted = 0").select("keep.*")
