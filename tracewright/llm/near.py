@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import simhash
 from tracewright.operators.components import contract
-from tracewright.session import few, partitions, release, stage
+from tracewright.session import FEW, discard, few, partitions, release, stage
 
 WIDTH, LEAST = 5, 0.8
 #: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
@@ -31,6 +31,10 @@ WIDTH, LEAST = 5, 0.8
 SMALL, CENTRES = 16, 512
 #: Cells in which shingles are counted, and the fullest ones that are told apart: they only order the shingles.
 CELLS, FULLEST = 1 << 20, 1 << 16
+#: Shingles of the sets that a task holds at once to verify pairs (16 MB; a longer text is a block with each that it meets).
+TOGETHER = 1 << 21
+#: Pairs of texts that hang together above which several tasks verify them.
+PAIRS = 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = "a long, b long"
 
@@ -90,19 +94,6 @@ def _printed(width: int):
     return run
 
 
-def _whole_sets(width: int):
-    """(text) to (node, s)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingles(t.as_py(), width)) for t in b.column(0)]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
-
-    return run
-
-
 def _cell(s: np.ndarray) -> np.ndarray:
     return s & (CELLS - 1)
 
@@ -240,20 +231,84 @@ def _possible(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
     return some.where(fits & (differ <= both - F.lit(2) * F.ceil(F.lit(least / (1 + least)) * both - F.lit(1e-9)))).select("a", "b")
 
 
-def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are alike."""
-    some = stage(_possible(some, p, least), "possible")
-    ends = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = stage(p.select("node", "th").join(ends, "node", "left_semi").groupBy("node").agg(F.min("th").alias("th")).select("th"), "texts")
-    sets = d.join(few(texts), "th", "left_semi").select("text").mapInArrow(_whole_sets(width), "node long, s array<long>")
-    sets = stage(sets.dropDuplicates(["node"]), "ends")
-    both = some.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = both.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= F.lit(least) * (F.size("sa") + F.size("sb") - common) - F.lit(1e-9)
-    got = stage(both.where(alike).select("a", "b"), "links")
-    release(d.sparkSession)
-    return got
+def _alike(width: int, least: float):
+    """Scan rows (block, a, b, text) sorted by block and by a null `a` first: a block's texts, then the pairs (a, b) among them. Yields the pairs whose sets are alike, but none that those before link already."""
+
+    def top(of: dict[int, int], x: int) -> int:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sets, of = None, {}, {}
+        for batch in batches:
+            got = []
+            for at, a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if at != block:
+                    block, sets, of = at, {}, {}
+                if a is None:
+                    own = np.unique(shingles(t.as_py(), width))
+                    node = _node(own)
+                    sets[node], of[node] = own, node
+                    continue
+                i, j = top(of, a), top(of, b)
+                if i == j:
+                    continue
+                x, y = sets[a], sets[b]
+                common = len(x) + len(y) - len(np.union1d(x, y))
+                if common >= least * (len(x) + len(y) - common) - 1e-9:
+                    got.append((a, b))
+                    of[i] = j
+            a, b = zip(*got, strict=True) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _blocks(some: DataFrame, p: DataFrame, together: int) -> DataFrame:
+    """(block, a, b): pairs that hang together are one block, and of more than `together` shingles or PAIRS pairs several.
+
+    A text is then sent once, with all its pairs. A larger group is cut into cells by hash, and a block has the pairs
+    between two cells: a text goes to as many blocks as there are cells, or as it has pairs, at most.
+    """
+    groups = contract(some)
+    sizes = p.join(groups, "node").groupBy("root", "node").agg(F.first("size").alias("size")).groupBy("root").agg(F.sum("size").alias("size"))
+    counts = some.join(groups.select(F.col("node").alias("a"), "root"), "a").groupBy("root").agg(F.count("*").alias("pairs"))
+    cells = F.greatest(F.ceil(F.lit(2.0) * F.col("size") / F.lit(together)), F.ceil(F.lit(2.0) * F.sqrt(F.col("pairs") / F.lit(float(PAIRS)))))
+    cells = groups.join(sizes.join(counts, "root"), "root").select("node", "root", cells.alias("cells"))
+    cells = cells.select("node", "root", F.when(F.col("cells") <= 2, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("cells"))).alias("cell"))
+    both = some.join(cells.select(F.col("node").alias("a"), "root", F.col("cell").alias("x")), "a")
+    both = both.join(cells.select(F.col("node").alias("b"), F.col("cell").alias("y")), "b")
+    return both.select(F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("block"), "a", "b")
+
+
+def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: float, together: int, most: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are alike.
+
+    Texts go to the blocks of their pairs, as texts, and become sets there: a fifth of what sets would take that meet in
+    joins. The list of texts is sent to the tasks that read them; one of more than `most` rows is done in parts, so texts
+    are never shuffled to it and only a part's texts are on disk.
+    """
+    spark = d.sparkSession
+    first = stage(_possible(some, p, least), "possible")
+    blocks = stage(_blocks(first, p, together), "blocks")
+    ends = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = stage(ends.join(p.groupBy("node").agg(F.min("th").alias("th")), "node").select("block", "th"), "texts")
+    parts = max(1, -(-texts.count() // most))
+    discard(first)
+    release(spark)
+    links = None
+    for k in range(parts):
+        mine = F.pmod(F.xxhash64("block"), F.lit(parts)) == k
+        own = d.select("th", "text").join(F.broadcast(texts.where(mine)), "th").select("block", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+        rows = own.unionAll(blocks.where(mine).select("block", "a", "b", F.lit(None).cast("string").alias("text")))
+        dealt = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("a").asc_nulls_first())
+        got = stage(dealt.mapInArrow(_alike(width, least), _PAIR), "links")
+        links = got if links is None else links.unionAll(got)
+        del own, rows, dealt
+        release(spark)
+    discard(blocks, texts)
+    return links
 
 
 def _covered(p: DataFrame) -> DataFrame:
@@ -266,36 +321,50 @@ def _covered(p: DataFrame) -> DataFrame:
     return same.unionAll(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _linked(docs: DataFrame, width: int, least: float, centres: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _linked(docs: DataFrame, width: int, least: float, centres: int, together: int = TOGETHER, most: int = FEW) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """The texts (doc_id, th, text), what is kept of them (doc_id, th, node, ...), and (node, root) of sets that are linked, if any."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     kept = stage(d.mapInArrow(_printed(width), _PRINT), "prints")
     p = kept.where("node is not null")
-    links = _verified(stage(_covered(p), "pairs"), d, p, width, least)
+    pairs = stage(_covered(p), "pairs")
+    links = _verified(pairs, d, p, width, least, together, most // 2)
+    discard(pairs)
     roots = None if links.isEmpty() else contract(links)
     top = kept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
     rows = d.select("text").mapInArrow(_prefixes(shared, width, least), "key long, node long, n int, pos int")
-    bits, many = p.select("node", "bits").dropDuplicates(["node"]), None
+    bits, many, met = p.select("node", "bits").dropDuplicates(["node"]), None, None
     while True:
-        if roots is None:
+        # the first rows are a fifth of all shingles: only a broadcast list of roots is joined to them, pairs to a longer one
+        late = many is None and roots is not None and roots.limit(most + 1).count() > most
+        if roots is None or late:
             rows = rows.withColumn("root", F.col("node"))
         else:
-            rows = rows.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+            rows = rows.join(few(roots, most), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
         if many is not None:
             rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", "bits")
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        met = stage(dealt.mapInArrow(_pairs(many, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        before, met = met, stage(dealt.mapInArrow(_pairs(many, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        del rows, dealt
+        if before is not None:
+            discard(before)
         release(spark)
-        some = stage(met.where("a is not null").select("a", "b").distinct(), "pairs")
+        some = met.where("a is not null").select("a", "b").distinct()
+        if late:
+            for side in "ab":
+                some = some.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+            some = some.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        some = stage(some, "pairs")
         if not some.isEmpty():
-            new = _verified(some, d, p, width, least)
+            new = _verified(some, d, p, width, least, together, most // 2)
             if not new.isEmpty():
                 links = links.unionAll(new)
                 roots = contract(links)
+        discard(some)
         rows = met.where("a is null").select("key", "node", "n", "pos")
         if rows.isEmpty():
+            discard(met)
             return d, p, roots
         many = centres if many is None else many * 8
 
@@ -315,8 +384,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, c
     words is one shingle of them all. A null doc_id is never a component's id unless all its members' ids are null.
     Other columns are not read. No rows in, none out.
 
-    Scale: a fifth of the shingles (at 0.8) is shuffled, and of the texts that the pairs to be verified name the whole
-    sets. In a large bucket `centres` members (eight times as many each round) meet all others, and only pairs that pass
+    Scale: a fifth of the shingles (at 0.8) is shuffled, and the texts that the pairs to be verified name, once each
+    unless a group of them is large. In a large bucket `centres` members (eight times as many each round) meet all others, and only pairs that pass
     the bitmap leave the task; rounds go on until every bucket is exhausted or its members are linked.
     """
     _, p, roots = _linked(docs, width, least, centres)

@@ -88,7 +88,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tracewright_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove staged tables that no frame to come reads; only for tables that their operator gave to nobody."""
+    for df in staged:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._tracewright_path)  # type: ignore[attr-defined]
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of ids and hashes that may be sent to every executor (16 MB at 16 bytes each).
