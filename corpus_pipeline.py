@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import bpe, exact_dedup, mixing, near, toxicity
 from tracewright.llm.queries import vocabulary
-from tracewright.session import ship, stage
+from tracewright.session import ship, small_batches, stage
+
+
+def _ready(spark: SparkSession) -> None:
+    ship(spark)
+    small_batches(spark)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text the toxicity score rejects go; each is judged by its own text, so null and repeated ids are as any other."""
-    ship(spark)
+    _ready(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (ASCII case aside; null is empty) the row with the largest doc_id stays, and one alone of rows that repeat."""
-    ship(spark)
+    _ready(spark)
     return exact_dedup.without_copies(docs)
 
 
@@ -27,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Covering SimHash tables propose pairs, prefix filtering proposes those they miss, and whole sets decide.
     """
-    ship(spark)
+    _ready(spark)
     return near.without_near_copies(docs)
 
 
@@ -44,7 +49,7 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each row that is left; a null text has no tokens."""
-    ship(spark)
+    _ready(spark)
     return bpe.bpe_encode(docs, vocabulary())
 
 

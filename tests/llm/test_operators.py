@@ -445,3 +445,17 @@ def test_near_copies_in_blocks_parts_and_with_many_roots(spark, monkeypatch):
         monkeypatch.setattr(near, "PAIRS", pairs)
         monkeypatch.setattr(near, "_linked", lambda *a, t=together, m=most: linked(*a, t, m))
         assert {r.doc_id: r.component_id for r in near.near_components(df).collect()} == root
+
+
+def test_batches_of_the_pipeline_are_bounded_in_bytes(spark):
+    """10,000 texts of 2 kB came to a worker at once."""
+    import corpus_pipeline as c
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    c.drop_copies(spark, spark.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    got = [r.n for r in spark.range(6000).coalesce(1).select(F.repeat(F.lit("x"), 2000).alias("text")).mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 12_000_000 and max(got) < 5_000_000

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.session import FEW, few, release, stage
+from tracewright.session import FEW, few, lean, release, stage
 
 #: Distinct digests to a bucket, and so to one filter.
 BUCKET_KEYS = 200_000
@@ -292,7 +292,7 @@ def without_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame
     rest = [c for c in docs.columns if c != "text"]
     d = docs.select(F.struct(*rest).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = d.schema["rest"].dataType.simpleString()
-    d = d.mapInArrow(_folded, f"rest {kind}, doc_id long, digest binary, chk long, norm string, capitals binary")
+    d = d.mapInArrow(lean(_folded), f"rest {kind}, doc_id long, digest binary, chk long, norm string, capitals binary")
     best = F.max_by(F.struct("rest", "capitals"), F.struct("doc_id", F.col("capitals").isNotNull(), F.xxhash64("capitals"))).alias("best")
     reps = stage(d.groupBy(_half().alias("old"), "digest", "chk", "norm").agg(F.max("doc_id").alias("keep"), F.count("*").alias("n"), best), "texts")
     release(spark)
@@ -302,5 +302,5 @@ def without_copies(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame
     lost = few(stage(same.select("digest", "chk", (~old_stays).alias("lost_old")), "lost"), FEW // 4)  # rows of 41 bytes
     is_old = F.coalesce("old", F.lit(False)).alias("lost_old")
     kept = reps.select("*", is_old).join(lost, ["digest", "chk", "lost_old"], "left_anti")
-    out = kept.select("best.rest", "norm", "best.capitals").mapInArrow(_unfolded, f"rest {kind}, text string")
+    out = kept.select("best.rest", "norm", "best.capitals").mapInArrow(lean(_unfolded), f"rest {kind}, text string")
     return out.select(*["text" if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])

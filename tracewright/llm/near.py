@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import simhash
 from tracewright.operators.components import contract
-from tracewright.session import FEW, discard, few, partitions, release, stage
+from tracewright.session import FEW, discard, few, lean, partitions, release, stage
 
 WIDTH, LEAST = 5, 0.8
 #: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
@@ -303,7 +303,7 @@ def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: fl
         own = d.select("th", "text").join(F.broadcast(texts.where(mine)), "th").select("block", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text")
         rows = own.unionAll(blocks.where(mine).select("block", "a", "b", F.lit(None).cast("string").alias("text")))
         dealt = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", F.col("a").asc_nulls_first())
-        got = stage(dealt.mapInArrow(_alike(width, least), _PAIR), "links")
+        got = stage(dealt.mapInArrow(lean(_alike(width, least)), _PAIR), "links")
         links = got if links is None else links.unionAll(got)
         del own, rows, dealt
         release(spark)
@@ -325,7 +325,7 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
     """The texts (doc_id, th, text), what is kept of them (doc_id, th, node, ...), and (node, root) of sets that are linked, if any."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
-    kept = stage(d.mapInArrow(_printed(width), _PRINT), "prints")
+    kept = stage(d.mapInArrow(lean(_printed(width)), _PRINT), "prints")
     p = kept.where("node is not null")
     pairs = stage(_covered(p), "pairs")
     links = _verified(pairs, d, p, width, least, together, most // 2)
@@ -333,7 +333,7 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
     roots = None if links.isEmpty() else contract(links)
     top = kept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
-    rows = d.select("text").mapInArrow(_prefixes(shared, width, least), "key long, node long, n int, pos int")
+    rows = d.select("text").mapInArrow(lean(_prefixes(shared, width, least)), "key long, node long, n int, pos int")
     bits, many, met = p.select("node", "bits").dropDuplicates(["node"]), None, None
     while True:
         # the first rows are a fifth of all shingles: only a broadcast list of roots is joined to them, pairs to a longer one
@@ -345,7 +345,7 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
         if many is not None:
             rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", "bits")
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        before, met = met, stage(dealt.mapInArrow(_pairs(many, least), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        before, met = met, stage(dealt.mapInArrow(lean(_pairs(many, least)), f"{_PAIR}, key long, node long, n int, pos int"), "met")
         del rows, dealt
         if before is not None:
             discard(before)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.sampling import held_out, labelled_texts, least_hashed
-from tracewright.session import stage
+from tracewright.session import lean, stage
 
 #: Rows of each label that the model is fitted on (parameter of the fit alone).
 SAMPLE_ROWS = 1500
@@ -348,7 +348,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"), F.lit(False).alias("held_out"))
     kind = rows.schema["row"].dataType.simpleString()
-    got = rows.mapInArrow(_model(d, labels, sample_rows), f"keep {kind}, held_out boolean, score double, predicted int")
+    got = rows.mapInArrow(lean(_model(d, labels, sample_rows)), f"keep {kind}, held_out boolean, score double, predicted int")
     return got.where("predicted = 0").select("keep.*")
 
 
