@@ -28,7 +28,7 @@ from tracewright.session import FEW, discard, few, lean, partitions, release, st
 WIDTH, LEAST = 5, 0.8
 #: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
 #: outside its largest group before the others (each further round has eight times as many).
-SMALL, CENTRES = 16, 512
+SMALL, CENTRES = 16, 16
 #: Cells in which shingles are counted, and the fullest ones that are told apart: they only order the shingles.
 CELLS, FULLEST = 1 << 20, 1 << 16
 #: Shingles of the sets that a task holds at once to verify pairs (16 MB; a longer text is a block with each that it meets).
@@ -59,13 +59,19 @@ def _node(s: np.ndarray) -> int:
 
 #: Numbers of a bitmap.
 _WORDS = 16
-_PRINT = "doc_id long, th long, node long, fp long, size int, bits array<long>, cell long, n long"
+_PRINT = "doc_id long, th long, node long, fp long, size int, bits array<long>, cells binary, cell long, n long"
+#: Shingles from which a text keeps its counts, too: parities tell nothing about some 2,000 shingles and more.
+LONG = 1000
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
+def _counts(s: np.ndarray) -> np.ndarray:
+    """How many of a set fall into each of 1,024 cells, modulo 256; two sets differ in as many as their counts at least."""
+    return np.bincount(((s * _ODD) >> np.uint64(54)).astype(np.int64), minlength=64 * _WORDS).astype(np.uint8)
+
+
+def _bitmap(counts: np.ndarray) -> np.ndarray:
     """1,024 parities of a set, as 16 numbers."""
-    odd = np.bincount(((s * _ODD) >> np.uint64(54)).astype(np.int64), minlength=64 * _WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return np.packbits(counts & 1).view(np.int64)
 
 
 def _printed(width: int):
@@ -78,17 +84,20 @@ def _printed(width: int):
         for b in batches:
             n = len(b)
             node, fp, size, bits = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.int32), np.empty((n, _WORDS), np.int64)
+            cells = []
             for k, t in enumerate(b.column(2)):  # a text's shingles are not kept beyond its turn
                 all_ = shingles(t.as_py(), width)
                 own = np.unique(all_)
                 np.add.at(full, _cell(own.view(np.int64)), 1)
-                node[k], fp[k], size[k], bits[k] = _node(own), simhash.majority(all_), len(own), _bitmap(own)
+                counts = _counts(own)
+                node[k], fp[k], size[k], bits[k] = _node(own), simhash.majority(all_), len(own), _bitmap(counts)
+                cells.append(counts.tobytes() if len(own) >= LONG else None)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * _WORDS), pa.array(bits.ravel()))
-            cols = [b.column(0), b.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size), lists]
+            cols = [b.column(0), b.column(1), pa.array(node), pa.array(fp.view(np.int64)), pa.array(size), lists, pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64())], names=names)
         top = np.argsort(-full, kind="stable")[:FULLEST]
         top = top[full[top] > 1]
-        types = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64())]
+        types = [*[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.binary()]
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(top), t) for t in types), pa.array(top.astype(np.int64)), pa.array(full[top])], names=names)
 
     return run
@@ -221,14 +230,53 @@ def _pairs(centres: int | None, least: float):
 
 
 def _possible(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not rule out."""
+    """The pairs (a, b, long) that sizes and bitmaps do not rule out; long: both have counts."""
     of = p.select("node", "size", "bits").dropDuplicates(["node"])
     for side in "ab":
         some = some.join(of.select(F.col("node").alias(side), F.col("size").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
     both = (F.col("na") + F.col("nb")).cast("double")
     differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     fits = F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - F.lit(1e-9)
-    return some.where(fits & (differ <= both - F.lit(2) * F.ceil(F.lit(least / (1 + least)) * both - F.lit(1e-9)))).select("a", "b")
+    return some.where(fits & (differ <= both - F.lit(2) * F.ceil(F.lit(least / (1 + least)) * both - F.lit(1e-9)))).select("a", "b", (F.least("na", "nb") >= LONG).alias("long"))
+
+
+def _counted_apart(least: float):
+    """Scan rows (block, a, b, n, cells) sorted by block and by a null `a` first: the counts of texts `b`, then pairs (a, b). Yields the pairs that they do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, of = None, {}
+        for batch in batches:
+            got = []
+            for at, a, b, n, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != block:
+                    block, of = at, {}
+                if a is None:
+                    of[b] = n, np.frombuffer(cells, np.uint8)
+                    continue
+                (n, x), (m, y) = of[a], of[b]
+                differ = int(np.abs((x - y).view(np.int8).astype(np.int16)).sum(dtype=np.int64))
+                if differ <= n + m - 2 * math.ceil(least / (1 + least) * (n + m) - 1e-9):
+                    got.append((a, b))
+            a, b = zip(*got, strict=True) if got else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _sifted(some: DataFrame, p: DataFrame, least: float, together: int) -> DataFrame:
+    """The pairs (a, b) whose counts, where both are long, do not rule them out; the counts go to blocks as texts do later."""
+    short, long_ = some.where("not long").select("a", "b"), some.where("long").select("a", "b")
+    if long_.isEmpty():
+        return short
+    blocks = stage(_blocks(long_, p, together), "blocks")
+    ends = blocks.select("block", F.explode(F.array("a", "b")).alias("b")).distinct()
+    of = p.where("cells is not null").groupBy(F.col("node").alias("b")).agg(F.first("size").alias("n"), F.first("cells").alias("cells"))
+    counts = ends.join(of, "b").select("block", F.lit(None).cast("long").alias("a"), "b", "n", "cells")
+    rows = counts.unionAll(blocks.select("block", "a", "b", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("cells")))
+    dealt = rows.repartition(partitions(p.sparkSession), "block").sortWithinPartitions("block", F.col("a").asc_nulls_first())
+    left = stage(dealt.mapInArrow(lean(_counted_apart(least)), _PAIR), "sifted")
+    discard(blocks)
+    return short.unionAll(left)
 
 
 def _alike(width: int, least: float):
@@ -290,12 +338,12 @@ def _verified(some: DataFrame, d: DataFrame, p: DataFrame, width: int, least: fl
     are never shuffled to it and only a part's texts are on disk.
     """
     spark = d.sparkSession
-    first = stage(_possible(some, p, least), "possible")
-    blocks = stage(_blocks(first, p, together), "blocks")
+    possible = stage(_possible(some, p, least), "possible")
+    blocks = stage(_blocks(_sifted(possible, p, least, together), p, together), "blocks")
     ends = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = stage(ends.join(p.groupBy("node").agg(F.min("th").alias("th")), "node").select("block", "th"), "texts")
     parts = max(1, -(-texts.count() // most))
-    discard(first)
+    discard(possible)
     release(spark)
     links = None
     for k in range(parts):
