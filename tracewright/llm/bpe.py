@@ -22,10 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.session import lean
+
 #: Marks a word's end inside this module; the byte alphabet has no such character.
 _END = "\0"
-#: Characters of the words remembered by a worker; beyond, the memory starts anew. Longer words are not remembered.
-_REMEMBERED, _LONGEST = 8_000_000, 64
+#: Characters of the words remembered by a worker (some 80 MB); of these the half that is older goes at once, but for
+#: words that were seen again. Longer words are not remembered.
+_REMEMBERED, _LONGEST = 2_000_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -43,12 +46,15 @@ class _Known(dict):
 
     def __init__(self, of):
         super().__init__()
-        self.of, self.size = of, 0
+        self.of, self.size, self.older = of, 0, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.of(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.of(word)
         if len(word) <= _LONGEST:
-            if self.size >= _REMEMBERED:
+            if 2 * self.size >= _REMEMBERED:
+                self.older = dict(self)
                 self.clear()
                 self.size = 0
             self[word] = ids
@@ -263,4 +269,4 @@ def bpe_encode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> Data
     columns = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return d.mapInArrow(_runner(spec, columns), schema)
+    return d.mapInArrow(lean(_runner(spec, columns)), schema)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm import simhash
@@ -27,8 +27,10 @@ from tracewright.session import FEW, discard, few, lean, partitions, release, st
 
 WIDTH, LEAST = 5, 0.8
 #: Members up to which a bucket's pairs are all looked at; members of a larger one that meet all others in a round, those
-#: outside its largest group before the others (each further round has eight times as many).
+#: outside its largest group before the others (each further round has 64 times as many: few are left that are not linked by then).
 SMALL, CENTRES = 16, 16
+#: Large buckets before a row's own, in the order of its set, that the row names: two sets that name one in common meet there.
+EARLIER = 16
 #: Cells in which shingles are counted, and the fullest ones that are told apart: they only order the shingles.
 CELLS, FULLEST = 1 << 20, 1 << 16
 #: Shingles of the sets that a task holds at once to verify pairs (16 MB; a longer text is a block with each that it meets).
@@ -133,18 +135,22 @@ def _prefixes(shared, width: int, least: float):
 
 
 def _pairs(centres: int | None, least: float):
-    """Scan rows (key, node, n, pos, root[, bitmap]) sorted by key, node: pairs (a, b, None...), and the rows of buckets that are not done.
+    """Scan rows (key, node, n, pos, root[, earlier, bitmap]) sorted by key, node: pairs (a, b, None...), and the rows of buckets that are not done.
 
-    Without `centres` buckets of at most SMALL members are done, and larger ones passed on; with it, larger ones are.
+    Without `centres` buckets of at most SMALL members are done, and larger ones passed on; with it, larger ones are. Two
+    sets that name an earlier large bucket in common are left to that one: near copies meet in a hundred buckets, and
+    would come as a pair from each. In the first bucket in which two sets meet they name none in common.
     """
-    names = ["a", "b", "key", "node", "n", "pos"]
+    names = ["a", "b", "key", "node", "n", "pos", "earlier"][: 6 if centres is None else 7]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())][: len(names) - 2]
 
     def pairs(a, b):
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(len(a), t) for t in types)], names=names)
 
     def rest(cols):
         none = pa.nulls(len(cols[0]), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols[:4])], names=names)
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * EARLIER), pa.array(c.ravel())) for c in cols[4:]]
+        return pa.RecordBatch.from_arrays([none, none, *map(pa.array, cols[:4]), *lists], names=names)
 
     def needed(n, m):
         """Shingles that sets of these sizes must share."""
@@ -165,7 +171,7 @@ def _pairs(centres: int | None, least: float):
             if got.any():
                 yield pairs(node[row[got]], node[to[got]])
 
-    def large(key, node, n, pos, root, bits=None):
+    def large(key, node, n, pos, root, earlier=None, bits=None):
         """Members outside the largest group so far meet all others; those who have met all are done with the bucket."""
         if (root == root[0]).all():
             return
@@ -179,12 +185,13 @@ def _pairs(centres: int | None, least: float):
             left[i] = False
             to = np.flatnonzero(left & (root != root[i]))
             to = to[may(n[i], pos[i], n[to], pos[to])]
-            differ = np.bitwise_count(bits[to] ^ bits[i]).sum(1, dtype=np.int64)
+            differ = np.bitwise_count((bits[to] ^ bits[i]).view(np.uint64)).sum(1, dtype=np.int64)  # of a signed number it counts the absolute value's
             to = to[differ <= n[i] + n[to] - 2 * needed(n[i], n[to])]
+            to = to[~np.isin(earlier[to], earlier[i]).any(1)]
             if len(to):
                 yield pairs(np.full(len(to), node[i]), node[to])
         if (root[left] != root[left][0]).any():
-            yield rest([c[left] for c in (key, node, n, pos)])
+            yield rest([c[left] for c in (key, node, n, pos, earlier)])
 
     def found(cols):
         key, node = cols[:2]
@@ -214,11 +221,11 @@ def _pairs(centres: int | None, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for b in batches:
-            cols = [c.flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
-            if held is not None:
-                cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
+            cols = [c.flatten().to_numpy().reshape(len(c), -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns]
             if not len(cols[0]):
                 continue
+            if held is not None:
+                cols = [np.concatenate(p) for p in zip(held, cols, strict=True)]
             last = int(np.searchsorted(cols[0], cols[0][-1]))
             if last:
                 yield from emit([c[:last] for c in cols])
@@ -229,6 +236,12 @@ def _pairs(centres: int | None, least: float):
     return run
 
 
+def _after(rows: DataFrame) -> DataFrame:
+    """Rows (key, node, n, pos) of large buckets with `earlier`: the last EARLIER keys of the node before this one, filled up by the node itself."""
+    keys = F.collect_list("key").over(Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1))
+    return rows.withColumn("earlier", F.concat(keys, F.array_repeat("node", F.lit(EARLIER) - F.size(keys))))
+
+
 def _possible(some: DataFrame, p: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b, long) that sizes and bitmaps do not rule out; long: both have counts."""
     of = p.select("node", "size", "bits").dropDuplicates(["node"])
@@ -382,6 +395,7 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
     top = kept.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cell").limit(FULLEST).toArrow()
     shared = spark.sparkContext.broadcast((top["cell"].to_numpy(), top["n"].to_numpy()))
     rows = d.select("text").mapInArrow(lean(_prefixes(shared, width, least)), "key long, node long, n int, pos int")
+    row = ["key", "node", "n", "pos"]
     bits, many, met = p.select("node", "bits").dropDuplicates(["node"]), None, None
     while True:
         # the first rows are a fifth of all shingles: only a broadcast list of roots is joined to them, pairs to a longer one
@@ -389,11 +403,11 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
         if roots is None or late:
             rows = rows.withColumn("root", F.col("node"))
         else:
-            rows = rows.join(few(roots, most), "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+            rows = rows.join(few(roots, most), "node", "left").select(*row, F.coalesce("root", "node").alias("root"))
         if many is not None:
-            rows = rows.join(bits, "node").select("key", "node", "n", "pos", "root", "bits")
+            rows = rows.join(bits, "node").select(*row[:4], "root", "earlier", "bits")
         dealt = rows.repartition(partitions(spark), "key").sortWithinPartitions("key", "node")
-        before, met = met, stage(dealt.mapInArrow(lean(_pairs(many, least)), f"{_PAIR}, key long, node long, n int, pos int"), "met")
+        before, met = met, stage(dealt.mapInArrow(lean(_pairs(many, least)), f"{_PAIR}, key long, node long, n int, pos int" + ", earlier array<long>" * (many is not None)), "met")
         del rows, dealt
         if before is not None:
             discard(before)
@@ -410,11 +424,13 @@ def _linked(docs: DataFrame, width: int, least: float, centres: int, together: i
                 links = links.unionAll(new)
                 roots = contract(links)
         discard(some)
-        rows = met.where("a is null").select("key", "node", "n", "pos")
+        rows = met.where("a is null").select(*row)
         if rows.isEmpty():
             discard(met)
             return d, p, roots
-        many = centres if many is None else many * 8
+        if many is None:
+            rows, row = _after(rows), [*row, "earlier"]
+        many = centres if many is None else many * 64
 
 
 def _classes(p: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -433,8 +449,8 @@ def near_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, c
     Other columns are not read. No rows in, none out.
 
     Scale: a fifth of the shingles (at 0.8) is shuffled, and the texts that the pairs to be verified name, once each
-    unless a group of them is large. In a large bucket `centres` members (eight times as many each round) meet all others, and only pairs that pass
-    the bitmap leave the task; rounds go on until every bucket is exhausted or its members are linked.
+    unless a group of them is large. In a large bucket `centres` members (64 times as many each round) meet all others, and only pairs that pass
+    the bitmap leave the task, once from all buckets in which they meet; rounds go on until every bucket is exhausted or its members are linked.
     """
     _, p, roots = _linked(docs, width, least, centres)
     of = _classes(p, roots)

@@ -116,8 +116,9 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose results have been written."""
+    """Let Spark's cleaner drop shuffle files whose results have been written; the driver's Python gives memory back, too."""
     gc.collect()
+    _trim()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -127,14 +128,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, "4m")
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow whose worker gives back at the task's end what the allocators hold; workers outlive tasks and stages."""
 
     def run(batches: Iterator) -> Iterator:
         yield from f(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # not glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
 
     return run
 
